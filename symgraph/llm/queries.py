@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.llm.frequent import frequent_values
+from symgraph.llm.leaks import leaks
 from symgraph.llm.packing import pack
 from symgraph.session import load
 
@@ -25,10 +26,23 @@ def p6_pack(spark: SparkSession, base: str) -> DataFrame:
     return pack(load(spark, base, "documents"), load(spark, base, "pack_sizes"))
 
 
+def p7_leaks(spark: SparkSession, base: str) -> DataFrame:
+    return leaks(load(spark, base, "documents"), load(spark, base, "eval_items"))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return p7_leaks(spark, base).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, base: str) -> DataFrame:
+    """For each leaked item the documents that hold it and the longest passage."""
+    return p7_leaks(spark, base).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("words").alias("words"))
+
+
 _FREQUENT = " UNION ALL ".join(
     f"SELECT '{f}' AS field, {c} AS val, count(*) AS n_rows FROM {t} WHERE {c} <> '' GROUP BY {c} HAVING count(*) >= 0.004 * (SELECT count(*) FROM {t})"
     for f, t, c in FIELDS
 )
 
-QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p6_pack": p6_pack}
+QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p6_pack": p6_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_items": p7_items}
 SQL = {"p1_found": f"SELECT field, val FROM ({_FREQUENT})", "p1_values": _FREQUENT}
