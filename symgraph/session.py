@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,10 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a checkpoint in the shared folder, so that lost executors cost nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a table in the shared folder and read again: cuts the lineage and keeps columns prunable."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
