@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.llm.frequent import frequent_values
+from symgraph.llm.handwritten import not_handwritten
 from symgraph.llm.leaks import leaks
 from symgraph.llm.packing import pack
 from symgraph.session import load
@@ -22,6 +23,14 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return p1_values(spark, base).select("field", "val")
 
 
+def p4_files(spark: SparkSession, base: str) -> DataFrame:
+    return not_handwritten(load(spark, base, "files"), load(spark, base, "file_contents"))
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return p4_files(spark, base).select("file_id")
+
+
 def p6_pack(spark: SparkSession, base: str) -> DataFrame:
     return pack(load(spark, base, "documents"), load(spark, base, "pack_sizes"))
 
@@ -44,5 +53,5 @@ _FREQUENT = " UNION ALL ".join(
     for f, t, c in FIELDS
 )
 
-QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p6_pack": p6_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_items": p7_items}
+QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p4_found": p4_found, "p4_files": p4_files, "p6_pack": p6_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_items": p7_items}
 SQL = {"p1_found": f"SELECT field, val FROM ({_FREQUENT})", "p1_values": _FREQUENT}
