@@ -9,6 +9,7 @@ from symgraph.llm.frequent import frequent_values
 from symgraph.llm.handwritten import not_handwritten
 from symgraph.llm.leaks import leaks
 from symgraph.llm.packing import pack
+from symgraph.llm.validity import parse_rates, parse_reports
 from symgraph.session import load
 
 FIELDS = (("refs.name", "refs", "name"), ("imports.raw_path", "imports", "raw_path"))
@@ -23,6 +24,18 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return p1_values(spark, base).select("field", "val")
 
 
+def p3_reports(spark: SparkSession, base: str) -> DataFrame:
+    return parse_reports(load(spark, base, "files"), load(spark, base, "file_contents"))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return p3_reports(spark, base).filter("not valid").select("file_id")
+
+
+def p3_rates(spark: SparkSession, base: str) -> DataFrame:
+    return parse_rates(p3_reports(spark, base), load(spark, base, "index_stats"))
+
+
 def p4_files(spark: SparkSession, base: str) -> DataFrame:
     return not_handwritten(load(spark, base, "files"), load(spark, base, "file_contents"))
 
@@ -53,5 +66,5 @@ _FREQUENT = " UNION ALL ".join(
     for f, t, c in FIELDS
 )
 
-QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p4_found": p4_found, "p4_files": p4_files, "p6_pack": p6_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_items": p7_items}
+QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p3_reports": p3_reports, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p6_pack": p6_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_items": p7_items}
 SQL = {"p1_found": f"SELECT field, val FROM ({_FREQUENT})", "p1_values": _FREQUENT}
