@@ -9,6 +9,7 @@ from symgraph.llm.frequent import frequent_values
 from symgraph.llm.handwritten import not_handwritten
 from symgraph.llm.leaks import leaks
 from symgraph.llm.packing import pack
+from symgraph.llm.subjects import SHARE, subject_shares
 from symgraph.llm.validity import parse_rates, parse_reports
 from symgraph.session import load
 
@@ -61,10 +62,24 @@ def p7_items(spark: SparkSession, base: str) -> DataFrame:
     return p7_leaks(spark, base).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("words").alias("words"))
 
 
+def p8_shares(spark: SparkSession, base: str) -> DataFrame:
+    return subject_shares(*(load(spark, base, t) for t in ("documents", "doc_labels", "subjects")))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return p8_shares(spark, base).filter(F.col("share") >= SHARE).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, base: str) -> DataFrame:
+    """The composition of the corpus: documents of each subject and their sentences."""
+    found = p8_shares(spark, base).filter(F.col("share") >= SHARE)
+    return found.groupBy("subject").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
+
+
 _FREQUENT = " UNION ALL ".join(
     f"SELECT '{f}' AS field, {c} AS val, count(*) AS n_rows FROM {t} WHERE {c} <> '' GROUP BY {c} HAVING count(*) >= 0.004 * (SELECT count(*) FROM {t})"
     for f, t, c in FIELDS
 )
 
-QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p3_reports": p3_reports, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p6_pack": p6_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_items": p7_items}
+QUERIES = {"p1_found": p1_found, "p1_values": p1_values, "p3_found": p3_found, "p3_reports": p3_reports, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p6_pack": p6_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_items": p7_items, "p8_found": p8_found, "p8_shares": p8_shares, "p8_composition": p8_composition}
 SQL = {"p1_found": f"SELECT field, val FROM ({_FREQUENT})", "p1_values": _FREQUENT}
