@@ -88,7 +88,8 @@ def flex_search(idx: Index, query: str, limit: int = 20) -> DataFrame:
 
 def multi_search(idx: Index, queries: list[str], limit: int = 20, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """The hits of several queries, `limit` each, every symbol once under the first query that finds it."""
-    order = F.create_map(*[F.lit(x) for k, q in reversed([*enumerate(queries)]) for x in (q, k)])
+    first_place = {q: queries.index(q) for q in queries}
+    order = F.create_map(*[F.lit(x) for pair in first_place.items() for x in pair])
     found = scored(idx.symbols.filter(F.col("name").isin(*queries)).filter(path_allowed(F.col("rel_path"), include, exclude)))
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), *ORDER))
     kept = found.withColumns({"query_no": order[F.col("name")], "rank": rank, "symbol_id": symbol_id()}).filter(F.col("rank") <= limit)

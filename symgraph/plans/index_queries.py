@@ -10,6 +10,7 @@ from symgraph.operators import bundles, graph, lookup, search, structure, traver
 from symgraph.session import load
 from symgraph.sources.index import Index
 from symgraph.sources.languages import BY_NAME, EXTENSIONS, language
+from symgraph.sources import extract
 from symgraph.streaming import refresh
 
 SYMBOLS, ROOTS, USED = ["New", "load"], ["New", "Config"], ["loadDocket", "Parcel"]
@@ -476,3 +477,24 @@ def reference_metrics(spark: SparkSession, base: str) -> DataFrame:
     both = used.join(known, ["repo_id", "name"], "full")
     u, k = F.col("used").isNotNull(), F.col("known").isNotNull()
     return both.groupBy("repo_id").agg(F.count_if(u & k).alias("both"), F.count_if(u & ~k).alias("only_used"), F.count_if(k & ~u).alias("only_known"))
+
+
+# Extraction, which SQL can't say
+def _extracted(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = extract.with_language(Index.load(spark, base).files)
+    return extract.tables(extract.parsed(files.join(load(spark, base, "file_contents"), "file_id")))
+
+
+@query("extracted_symbols")
+def extracted_symbols(spark: SparkSession, base: str) -> DataFrame:
+    return _extracted(spark, base)[0]
+
+
+@query("extracted_refs")
+def extracted_refs(spark: SparkSession, base: str) -> DataFrame:
+    return _extracted(spark, base)[1]
+
+
+@query("extracted_imports")
+def extracted_imports(spark: SparkSession, base: str) -> DataFrame:
+    return _extracted(spark, base)[2]
