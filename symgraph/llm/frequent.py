@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -23,9 +24,9 @@ def shrink(table: pa.Table, counters: int) -> pa.Table:
     table = table.group_by("key").aggregate([("est", "sum")]).rename_columns(["key", "est"])
     if len(table) <= counters:
         return table
-    nth = pc.partition_nth_indices(table["est"], pivot=len(table) - counters - 1)
-    cut = table["est"][nth[len(table) - counters - 1].as_py()]
-    table = table.set_column(1, "est", pc.subtract(table["est"], cut))
+    place = len(table) - counters - 1
+    cut = np.partition(table["est"].to_numpy(), place)[place]
+    table = table.set_column(1, "est", pc.subtract(table["est"], pa.scalar(int(cut), pa.int64())))
     return table.filter(pc.greater(table["est"], 0))
 
 

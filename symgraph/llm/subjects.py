@@ -22,10 +22,12 @@ SEEDS = 50_000
 ROUNDS = 4
 #: A speaker with at least this share of all documents is the chair, whose documents are the seeds of the class of procedure.
 CHAIR_SHARE = 0.05
-#: Counts added to a term's subjects, in the proportions of its language; the least divergence of a term that says something.
-SMOOTHING, DIVERGENCE = 10.0, 0.35
-#: The least strength of a sentence that deals with an area; the weight of the document's other sentences; the least share.
-STRENGTH, CONTEXT, SHARE = 0.45, 0.3, 0.25
+#: Counts added to a term's subjects, in the proportions of its language; the least divergence of a term that says something,
+#: in parts of the greatest there can be, the logarithm of the number of classes.
+SMOOTHING, DIVERGENCE = 10.0, 0.146
+#: The least strength of a sentence that deals with an area, in parts of the square of that logarithm; the weight of the
+#: document's other sentences; the least share.
+STRENGTH, CONTEXT, SHARE = 0.0783, 0.3, 0.25
 
 #: Frequent words that tell the languages apart.
 STOP_WORDS = {
@@ -89,7 +91,7 @@ def weighted(counts: np.ndarray, smoothing: float) -> np.ndarray:
         prior = (part.sum(0) + 1e-9) / (part.sum() + 1e-9)
         p = (part + smoothing * prior) / (part.sum(1, keepdims=True) + smoothing)
         lift = np.log(p / prior)
-        tells = np.maximum(0, (p * lift).sum(1) - DIVERGENCE)
+        tells = np.maximum(0, (p * lift).sum(1) - DIVERGENCE * np.log(counts.shape[1]))
         out[k * _QUARTER : (k + 1) * _QUARTER] = np.maximum(lift, -1) * tells[:, None]
     return out
 
@@ -131,7 +133,7 @@ class Batch:
         length = np.linalg.norm(z, axis=1)
         cosine = (z @ model.centroids.T) / (length[:, None] + 1e-12)
         subjects = model.centroids.shape[0]
-        live = (length * cosine.max(axis=1, initial=0) > STRENGTH) & (cosine.max(axis=1, initial=0) > 0.3)
+        live = (length * cosine.max(axis=1, initial=0) > STRENGTH * np.log(subjects) ** 2) & (cosine.max(axis=1, initial=0) > 0.3)
         best = cosine.argmax(axis=1) if self.n else np.zeros(0, np.int64)
         counts = self.counted(best, live, subjects)
         shares = counts / np.maximum(counts.sum(1, keepdims=True), 1)
@@ -177,7 +179,7 @@ def featured(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[D
 
     The number after the last subject is procedure, given to the documents of the chair.
     """
-    names = sorted(r[0] for r in subjects.select("subject").filter("subject is not null").distinct().limit(1000).collect())
+    names = sorted(r[0] for r in subjects.select("subject").filter("subject <> ''").distinct().limit(1000).collect())
     number = {s: k for k, s in enumerate(names)}
     known = labels.select("doc_id", "subject").filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("given"))
     seeds = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEEDS)
@@ -192,7 +194,7 @@ def featured(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[D
     words = kept.mapInArrow(split, "doc_id long, terms array<array<int>>, speaker_id long")
     most = speakers.filter("speaker_id is not null").groupBy("speaker_id").count().orderBy(F.desc("count"), "speaker_id").first()
     chair = most["speaker_id"] if most and most["count"] >= CHAIR_SHARE * docs.count() else None
-    numbers = F.create_map(*[F.lit(x) for s in names for x in (s, number[s])]) if names else F.create_map()
+    numbers = F.create_map(*[F.lit(x) for s in [*names, ""] for x in (s, number.get(s, -1))])
     given = F.transform(F.coalesce("given", F.array().cast("array<string>")), lambda s: numbers[s].cast("int"))
     if chair is not None:
         given = F.when(F.col("speaker_id").eqNullSafe(F.lit(chair)), F.array(F.lit(len(names)))).otherwise(given)
@@ -222,7 +224,7 @@ def learned(rows: DataFrame, subjects: DataFrame, names: list[str], rounds: int
         yield _partial(total, None)
 
     counts, _ = _gathered(rows.filter(F.size("given") > 0).select("terms", "given").mapInArrow(seed, _schema(n)), n)
-    for r in subjects.select("subject", "description").filter("subject is not null").limit(1000).collect():
+    for r in subjects.select("subject", "description").filter("subject <> ''").limit(1000).collect():
         for sentence in terms(f"the {r['description'] or ''} of the {r['subject']}"):
             counts[sentence, names.index(r["subject"])] += 1
     model = fitted(counts, SMOOTHING / 5, n)
@@ -245,6 +247,7 @@ def _round(model: Model, n: int):
             others = counts[b.owner]
             others[np.flatnonzero(live), best[live]] -= 1
             others /= np.maximum(others.sum(1, keepdims=True), 1)
+            others *= (others**2).sum(1, keepdims=True)  # documents of one area tell more of a term than mixed ones
             each = others[b.row]
             for s in range(n):
                 total[:, s] += np.bincount(b.terms, each[:, s], BUCKETS)
