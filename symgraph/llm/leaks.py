@@ -153,6 +153,9 @@ class Index:
                 runs = np.lib.stride_tricks.sliding_window_view(minhashes(s, b), width, axis=1).min(axis=2)
                 for value in np.unique(runs).tolist():
                     found[value].add(len(self.items) - 1)
+        every = [i.shingles for i in self.items]
+        self.every = np.unique(np.concatenate(every)) if every else np.empty(0, np.uint64)
+        self.fewest = min((self.fewest_shared(i) for i in self.items), default=0)
         self.values = np.array(sorted(found), np.uint64)
         self.owners = [sorted(found[v]) for v in sorted(found)]
         self.functions = {size: min(most, functions_for(size, max(1, least - SHINGLE + 1))) for size in SIZES}
@@ -160,6 +163,18 @@ class Index:
         if short:  # short items need all functions in every partition
             self.functions = dict.fromkeys(SIZES, most)
 
+    def fewest_shared(self, item: Item) -> int:
+        """Shingles that a passage of the item keeps: an error takes SHINGLE at most, a word or two go where a bracket opens."""
+        return min(len(item.words), self.least) - SHINGLE + 1 - (self.least // 10) * SHINGLE - 2
+
+    def hopeless(self, hashes: np.ndarray) -> bool:
+        """Whether a document shares too few shingles with all items together to hold a passage of any. Loses nothing."""
+        if len(hashes) < self.fewest or not len(self.every):
+            return True
+        place = np.searchsorted(self.every, hashes)
+        place[place == len(self.every)] = 0
+        return int((self.every[place] == hashes).sum()) < max(1, self.fewest)
+
     def candidates(self, hashes: np.ndarray) -> dict[int, tuple[int, int]]:
         """Items that share a MinHash with a domain of the document: item number to first and last word."""
         out: dict[int, tuple[int, int]] = {}
@@ -196,6 +211,10 @@ def held(item: np.ndarray, text: np.ndarray, skips: list[tuple[int, int]], least
     if not n or not m:
         return None
     need = min(least, n)
+    # A passage has at most one missing word in ten, so some `need` words of the item miss no more than this.
+    there = np.concatenate([[0], np.cumsum(np.isin(item, text))])
+    if (there[need:] - there[:-need]).max() < need - max(0, 2 * need - 1) // 10:
+        return None
     far = 1 << 30
     same = item[:, None] == text[None, :]
     place = np.arange(n)
@@ -234,13 +253,13 @@ def passages(index: Index, text: str, words: Words) -> Iterator[tuple[int, int,
     best: set[int] = set()
     for at in forms:
         own = shingles(hashed[at])
+        if index.hopeless(own):
+            continue
         for number, (a, z) in index.candidates(own).items():
             item = index.items[number]
             if item.item_id in best:
                 continue
-            # An error takes SHINGLE shingles at most; a word or two may be lost where a bracket opens.
-            need = (len(item.words) if len(item.words) < index.least else index.least) - SHINGLE + 1
-            if len(np.intersect1d(own[a:z], item.shingles)) < need - (index.least // 10) * SHINGLE - 2:
+            if len(np.intersect1d(own[a:z], item.shingles)) < index.fewest_shared(item):
                 continue
             first = max(0, int(at[a]) - len(item.words))
             last = min(len(hashed), int(at[min(len(at), z + SHINGLE) - 1]) + len(item.words))
