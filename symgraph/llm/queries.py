@@ -63,7 +63,7 @@ def p7_items(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, base: str) -> DataFrame:
-    return subject_shares(*(load(spark, base, t) for t in ("documents", "doc_labels", "subjects")))
+    return subject_shares(*(load(spark, base, t) for t in ("documents", "doc_labels", "subjects", "eval_items")))
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:

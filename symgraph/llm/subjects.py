@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm.leaks import _BRACKETS, _FURNITURE, _LINE_END, _MOJIBAKE, plain
+from symgraph.llm.leaks import _BRACKETS, _FURNITURE, _LINE_END, _MOJIBAKE, _WORD, Words, plain, shingles
 from symgraph.session import stored
 
 #: Buckets of terms, a quarter for each language group; the tables made of them have this many rows at any size of the corpus.
@@ -28,6 +28,8 @@ SMOOTHING, DIVERGENCE = 10.0, 0.146
 #: The least strength of a sentence that deals with an area, in parts of the square of that logarithm; the weight of the
 #: document's other sentences; the least share.
 STRENGTH, CONTEXT, SHARE = 0.0783, 0.3, 0.25
+#: A sentence is a quotation if this share of its three-word shingles stands in the texts that are quoted; and how many texts these may be.
+QUOTED, MOST_QUOTED = 0.2, 100_000
 
 #: Frequent words that tell the languages apart.
 STOP_WORDS = {
@@ -62,9 +64,25 @@ def sentences(text: str) -> list[str]:
     return [s for s in (" ".join(x.split()) for x in _SENTENCE.split(text)) if s and not _FORMULA.search(s)]
 
 
-def terms(text: str) -> list[list[int]]:
+class Quoted:
+    """Tells sentences that are taken from known texts, or built like theirs, from a speaker's own."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.words = known, Words()
+
+    def holds(self, text: str) -> bool:
+        own = shingles(self.words.of(_WORD.findall(text)))
+        if not len(own) or not len(self.known):
+            return False
+        place = np.searchsorted(self.known, own)
+        place[place == len(self.known)] = 0
+        return (self.known[place] == own).mean() >= QUOTED
+
+
+def terms(text: str, quoted: Quoted | None = None) -> list[list[int]]:
     """The buckets of the distinct terms of each sentence, in the quarter of the document's language."""
-    words = [_TERM.findall(plain(s)) for s in sentences(text)]
+    own = [p for p in map(plain, sentences(text)) if quoted is None or not quoted.holds(p)]
+    words = [_TERM.findall(p) for p in own]
     votes = [0, 0, 0]
     for sentence in words:
         for w in sentence:
@@ -174,19 +192,33 @@ def _gathered(parts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return counts, centroids
 
 
-def featured(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[DataFrame, list[str]]:
+def _quotable(quotes: DataFrame | None) -> np.ndarray:
+    """The shingles of the texts that are quoted; the set of these texts is stated and bounded."""
+    if quotes is None:
+        return np.empty(0, np.uint64)
+    rows = quotes.select("text").filter("text is not null").distinct().limit(MOST_QUOTED + 1).collect()
+    if len(rows) > MOST_QUOTED:
+        raise ValueError(f"more than {MOST_QUOTED} texts to quote from")
+    hashes = Words()
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *[shingles(hashes.of(_WORD.findall(plain(r[0])))) for r in rows]]))
+
+
+def featured(docs: DataFrame, labels: DataFrame, subjects: DataFrame, quotes: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """A table of doc_id, the terms of its sentences and the numbers of its labelled subjects; and the names of the subjects.
 
     The number after the last subject is procedure, given to the documents of the chair.
     """
     names = sorted(r[0] for r in subjects.select("subject").filter("subject <> ''").distinct().limit(1000).collect())
     number = {s: k for k, s in enumerate(names)}
-    known = labels.select("doc_id", "subject").filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("given"))
-    seeds = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEEDS)
+    labelled = labels.select("doc_id", "subject").filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("given"))
+    seeds = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEEDS)
+
+    known = docs.sparkSession.sparkContext.broadcast(_quotable(quotes))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quoted = Quoted(known.value) if len(known.value) else None
         for batch in batches:
-            lists = pa.array([terms(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.list_(pa.int32())))
+            lists = pa.array([terms(t or "", quoted) for t in batch.column(1).to_pylist()], pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], ["doc_id", "terms", "speaker_id"])
 
     speakers = docs if "speaker_id" in docs.columns else docs.withColumn("speaker_id", F.lit(None).cast("long"))
@@ -257,16 +289,17 @@ def _round(model: Model, n: int):
     return count
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
+def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
     """For every document the areas its sentences deal with: doc_id, subject, n_sentences, share.
 
-    Interruptions, page furniture, agenda formulas and sentences without telling terms do not count. Documents of null
+    Interruptions, page furniture, agenda formulas and sentences without telling terms do not count, nor do sentences
+    quoted from the texts `quotes` (column text; nulls are ignored). Documents of null
     id or text, and those without a telling sentence, give no rows. Labels may be wrong, missing or repeated; labels of
     unknown subjects are ignored, and without labels the descriptions alone are the seeds. No subjects give no rows.
     Of repeated rows of a document each is judged, and equal results fall together. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    rows, names = featured(docs, labels, subjects)
+    rows, names = featured(docs, labels, subjects, quotes)
     schema = "doc_id long, subject string, n_sentences long, share double"
     if not names:
         return spark.createDataFrame([], schema)

@@ -68,3 +68,17 @@ def test_very_long_text(spark):
 def test_sentences():
     text = "Mr. Speaker, Dr. A. Bo is right. – (Laughter) – We know.\nSitting 3 – 14 –\nThe next item is Motion on Fields. It is well-\nknown!"
     assert sentences(text) == ["Mr Speaker, Dr A Bo is right.", "We know. It is wellknown!"] or len(sentences(text)) == 3
+
+
+def test_quotations_do_not_count(spark):
+    rows, truth = corpus(200)
+    item = "Twelve surgeons, wrote Temodu, would have saved Tisavu; the council of Sedizo granted 2192 and kept 3894 for the Dugato festival of 1818."
+    fake = item.replace("Temodu", "Bo").replace("Tisavu", "Li").replace("2192", "7").replace("Sedizo", "Ma")
+    law = next(d for d in truth if truth[d] == {"law"})
+    rows[law] = (law, rows[law][1] + " " + " ".join([item, fake, item, fake]), *rows[law][2:])
+    labels = spark.createDataFrame([(d, s) for d in truth if d % 2 and d != law for s in truth[d]], "doc_id long, subject string")
+    docs, subjects = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(s, "") for s in NOUNS], "subject string, description string")
+    quotes = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    found = {r.subject for r in subject_shares(docs, labels, subjects, quotes).filter(f"doc_id = {law}").collect()}
+    assert found == {"law"}
+    assert "health" in {r.subject for r in subject_shares(docs, labels, subjects).filter(f"doc_id = {law}").collect()}
