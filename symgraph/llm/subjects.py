@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm.leaks import _BRACKETS, _FURNITURE, _LINE_END, _MOJIBAKE, _WORD, Words, plain, shingles
+from symgraph.llm.leaks import _BRACKETS, _FURNITURE, _LINE_END, _MOJIBAKE, _WORD, SHINGLE, Words, plain, shingles
 from symgraph.session import stored
 
 #: Buckets of terms, a quarter for each language group; the tables made of them have this many rows at any size of the corpus.
@@ -70,18 +70,29 @@ class Quoted:
     def __init__(self, known: np.ndarray):
         self.known, self.words = known, Words()
 
-    def holds(self, text: str) -> bool:
-        own = shingles(self.words.of(_WORD.findall(text)))
-        if not len(own) or not len(self.known):
-            return False
-        place = np.searchsorted(self.known, own)
+    def own(self, texts: list[str]) -> list[str]:
+        """The sentences of a document that are its own. Looked up together; only shingles within a sentence count."""
+        words = [_WORD.findall(t) for t in texts]
+        ends = np.cumsum([len(w) for w in words])
+        every = shingles(self.words.of([w for sentence in words for w in sentence]))
+        if not len(every) or not len(self.known):
+            return texts
+        place = np.searchsorted(self.known, every)
         place[place == len(self.known)] = 0
-        return (self.known[place] == own).mean() >= QUOTED
+        hits = np.concatenate([[0], np.cumsum(self.known[place] == every)])
+        if not hits[-1]:
+            return texts
+        first = np.concatenate([[0], ends[:-1]])
+        last = np.clip(ends - SHINGLE + 1, first, len(every))
+        share = (hits[last] - hits[np.minimum(first, len(every))]) / np.maximum(last - first, 1)
+        return [t for t, q in zip(texts, share >= QUOTED, strict=True) if not q]
 
 
 def terms(text: str, quoted: Quoted | None = None) -> list[list[int]]:
     """The buckets of the distinct terms of each sentence, in the quarter of the document's language."""
-    own = [p for p in map(plain, sentences(text)) if quoted is None or not quoted.holds(p)]
+    own = [*map(plain, sentences(text))]
+    if quoted and own:
+        own = quoted.own(own)
     words = [_TERM.findall(p) for p in own]
     votes = [0, 0, 0]
     for sentence in words:
