@@ -33,8 +33,8 @@ LITERAL = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|
 RARE_SHARE, RARE_LINES = 0.005, 20
 #: A file is a copy if this share of its rare lines, of which it has at least FEWEST, stands in one file of another repository.
 CONTAINED, FEWEST = 0.6, 6
-#: Holders of a line with which its other holders are compared, each the first of a group of repositories.
-HUBS = 8
+#: Groups of repositories, of whose holders of a line the first and the last are proposed before all others; holders of a line in one task.
+HUBS, HOT = 4, 2000
 
 
 def current_files(files: DataFrame) -> DataFrame:
@@ -104,33 +104,53 @@ def described(files: DataFrame, contents: DataFrame) -> DataFrame:
 def copies(rows: DataFrame) -> DataFrame:
     """Classes of files (of `described`) whose code stands in another repository: class, share.
 
-    Files of the same class are one entry of the inverted index, however many there are. Lines that are not rare leave
-    it through a broadcast: they are at most (lines a file) / RARE_SHARE many, some thousands, at any size of the corpus.
-    Each holder of a rare line is compared with at most HUBS holders, the first of each group of repositories, so the
-    work grows with the lines and not with their pairs; the containment in those is exact.
+    Files of the same class are one entry of the inverted index, however many there are. The containment is exact and
+    every holder of a line counts: a class can only be contained in one that has one of its rarest lines, as many as
+    could be missing and one more, so just these are looked up, and most classes have no such line that others have.
+    Each is first compared with some holders (hubs); only what is not found with them is compared with all holders of
+    these lines, which are dealt out in parts of HOT, so that no task holds a hot line. Compared are whole sets of lines.
     """
     heads = rows.filter(F.size("hashes") > 0).groupBy("class").agg(
         F.min("file_id").alias("rep"), F.min("repo_id").alias("low"), F.max("repo_id").alias("high"), F.max("hashes").alias("hashes")
     )
-    heads = stored(heads.withColumn("hub_no", F.pmod(F.xxhash64("low"), F.lit(HUBS)).cast("int")))
-    lines = heads.select("rep", "hub_no", F.explode("hashes").alias("line"))
-    limit = F.greatest(F.lit(RARE_LINES), heads.select(F.count(F.lit(1))).scalar() * RARE_SHARE)
-    common = lines.groupBy("line").count().filter(F.col("count") > limit).select("line")
-    rare = lines.join(F.broadcast(common), "line", "left_anti")
-    sizes = rare.groupBy("rep").agg(F.count(F.lit(1)).alias("n_rare")).filter(F.col("n_rare") >= FEWEST)
-    dealt = rare.repartition("line")
-    hubs = dealt.groupBy("line").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.min(F.when(F.col("hub_no") == k, F.col("rep"))).alias(f"_h{k}") for k in range(HUBS)]
-    ).filter("_n > 1")
-    hubs = hubs.select("line", F.array_compact(F.array(*[f"_h{k}" for k in range(HUBS)])).alias("_hubs"))
-    pairs = dealt.join(hubs, "line").select("rep", F.explode("_hubs").alias("hub")).filter("rep != hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
-    kept = pairs.join(sizes, "rep").filter(F.col("n") >= CONTAINED * F.col("n_rare"))
-    own = heads.select("rep", "class", "low", "high")
-    far = own.select(F.col("rep").alias("hub"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-    other = (F.col("low") != F.col("_low")) | (F.col("low") != F.col("_high"))
-    part = kept.join(own, "rep").join(far, "hub").filter(other).groupBy("class").agg(F.max(F.col("n") / F.col("n_rare")).alias("share"))
-    whole = own.filter("low != high").join(sizes, "rep").select("class", F.lit(1.0).alias("share"))
-    return part.unionByName(whole).groupBy("class").agg(F.max("share").alias("share"))
+    heads = stored(heads)
+    limit = max(RARE_LINES, heads.count() * RARE_SHARE)
+    dealt = heads.select("rep", F.explode("hashes").alias("line")).repartition("line")
+    often = dealt.groupBy("line").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1")
+    shared = dealt.join(often, "line").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("shared"))
+    home = F.when(F.col("low") == F.col("high"), F.xxhash64("low"))
+    own = heads.filter("low is not null").select("rep", "class", home.alias("home"), F.size("hashes").alias("n_lines"))
+    held = stored(own.join(shared, "rep"))
+
+    rare = F.filter("shared", lambda x: x["n"] <= limit)
+    n_rare = F.col("n_lines") - F.size("shared") + F.size(rare)
+    part = lambda n: F.ceil(n * CONTAINED - 1e-9).cast("int")
+    probes = held.filter("home is not null").select("rep", "class", "home", rare.alias("lines"), n_rare.alias("n"), part(n_rare).alias("need"))
+    probes = stored(probes.filter(F.col("n") >= FEWEST).filter(F.size("lines") >= F.col("need")))
+    first = F.slice("lines", F.lit(1), F.size("lines") - F.col("need") + 1)
+    wanted = probes.select("rep", "home", F.explode(first).alias("_x")).select("rep", "home", "_x.n", "_x.line").distinct()
+    index = held.select(F.col("rep").alias("hub"), F.col("home").alias("_home"), F.explode("shared.line").alias("line"))
+    index = stored(index.join(wanted.select("line").distinct(), "line", "left_semi"))
+    elsewhere = (F.col("rep") != F.col("hub")) & ~F.col("home").eqNullSafe(F.col("_home"))
+
+    def contained(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter(elsewhere).select("rep", "hub").distinct()
+        far = held.select(F.col("rep").alias("hub"), F.col("shared.line").alias("_far"))
+        both = probes.select("rep", "class", F.col("lines.line").alias("_near"), "n", "need").join(pairs, "rep").join(far, "hub")
+        common = F.size(F.array_intersect("_near", "_far"))
+        return both.filter(common >= F.col("need")).groupBy("rep", "class").agg(F.max(common / F.col("n")).alias("share"))
+
+    bucket = F.pmod(F.coalesce("_home", F.lit(0)), F.lit(HUBS))
+    ends = [f(F.when(bucket == k, F.struct("_home", "hub"))) for k in range(HUBS) for f in (F.min, F.max)]
+    hubs = index.groupBy("line").agg(F.array_distinct(F.array_compact(F.array(*ends))).alias("_hubs"))
+    near = stored(contained(wanted.join(hubs, "line").select("rep", "home", F.explode("_hubs").alias("_x")).select("rep", "home", "_x.*")))
+    parts = F.ceil(F.col("n") / HOT).cast("int")
+    left = wanted.join(near, "rep", "left_anti").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    every = index.join(wanted.select("line", "n").distinct(), "line").withColumn("_part", F.pmod(F.xxhash64("hub"), parts).cast("int")).drop("n")
+    found = near.unionByName(contained(left.join(every, ["line", "_part"])))
+    whole = heads.filter("low != high").join(held.select("rep", n_rare.alias("n")), "rep", "left")
+    whole = whole.filter(F.coalesce("n", F.size("hashes")) >= FEWEST).select("class", F.lit(1.0).alias("share"))
+    return found.select("class", "share").unionByName(whole).groupBy("class").agg(F.max("share").alias("share"))
 
 
 def not_handwritten(files: DataFrame, contents: DataFrame) -> DataFrame:

@@ -48,6 +48,29 @@ def test_group_of_copies_that_holds_a_third_of_all_files(spark):
     assert set(got) == set(range(120))
 
 
+def edited(text, seed, n):
+    """`text` with n lines replaced."""
+    rng, lines = random.Random(f"edit{seed}"), text.splitlines()
+    for k in rng.sample(range(len(lines)), n):
+        lines[k] = code(f"{seed}-{k}", 1).strip()
+    return "\n".join(lines) + "\n"
+
+
+def test_both_of_two_edited_copies_are_found_in_whatever_repositories(spark):
+    rows = [(f"x/{k}-{side}.go", edited(code(f"lib{k}"), f"{k}-{side}", 2), f"r{k}-{side}") for k in range(30) for side in "ab"]
+    # A file of the same repository that has all the lines and comes first must not hide the far copy.
+    rows = [("x/near.go", code("near") + code("more", 40), "here"), *rows, ("x/own.go", edited(code("near"), 1, 1), "here"), ("x/far.go", edited(code("near"), 2, 1), "there")]
+    assert set(judge(spark, rows)) == set(range(1, len(rows)))
+
+
+def test_every_holder_of_a_line_is_compared(spark):
+    # The lines of the last file stand together in one file only, and each of them in many others that come first.
+    lines = code("spread", 12).splitlines()
+    rows = [(f"x/{k}-{j}.go", code(f"{k}-{j}") + line + "\n", f"r{k}-{j}") for k, line in enumerate(lines) for j in range(15)]
+    rows += [("x/all.go", "\n".join(lines) + "\n", "p"), ("x/part.go", "\n".join(lines[:9]) + "\n" + code("rest", 3), "q")]
+    assert set(judge(spark, rows)) == {len(rows) - 2, len(rows) - 1}
+
+
 def test_empty(spark):
     files = spark.createDataFrame([], FILES)
     assert not_handwritten(files, spark.createDataFrame([], "file_id long, content string")).count() == 0
