@@ -101,6 +101,14 @@ def described(files: DataFrame, contents: DataFrame) -> DataFrame:
     return rows.select("file_id", "repo_id", "language", rule.alias("rule"), "class", "hashes")
 
 
+def _signature(lines: Column) -> list[Column]:
+    """128 bits, in two numbers: one bit for each line."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    half = lambda x, k: F.when(x.bitwiseAND(F.lit(64)) == k, bit(x)).otherwise(F.lit(0).cast("long"))
+    part = lambda k: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(half(x, k)))
+    return [part(0), part(64)]
+
+
 def copies(rows: DataFrame) -> DataFrame:
     """Classes of files (of `described`) whose code stands in another repository: class, share.
 
@@ -108,7 +116,12 @@ def copies(rows: DataFrame) -> DataFrame:
     every holder of a line counts: a class can only be contained in one that has one of its rarest lines, as many as
     could be missing and one more, so just these are looked up, and most classes have no such line that others have.
     Each is first compared with some holders (hubs); only what is not found with them is compared with all holders of
-    these lines, which are dealt out in parts of HOT, so that no task holds a hot line. Compared are whole sets of lines.
+    these lines, which are dealt out in parts of HOT, so that no task holds a hot line. Compared are whole sets of lines,
+    after pairs that can't share enough by the bits of their signatures have been left out.
+
+    Two shares count: of the rare lines, so that common ones can't hide or feign a copy; and of all lines, with at least
+    FEWEST of them shared, so that a library whose lines are common because of its many edited copies is found as well.
+    The same class in two repositories is a copy whatever its lines are.
     """
     heads = rows.filter(F.size("hashes") > 0).groupBy("class").agg(
         F.min("file_id").alias("rep"), F.min("repo_id").alias("low"), F.max("repo_id").alias("high"), F.max("hashes").alias("hashes")
@@ -125,31 +138,41 @@ def copies(rows: DataFrame) -> DataFrame:
     rare = F.filter("shared", lambda x: x["n"] <= limit)
     n_rare = F.col("n_lines") - F.size("shared") + F.size(rare)
     part = lambda n: F.ceil(n * CONTAINED - 1e-9).cast("int")
-    probes = held.filter("home is not null").select("rep", "class", "home", rare.alias("lines"), n_rare.alias("n"), part(n_rare).alias("need"))
-    probes = stored(probes.filter(F.col("n") >= FEWEST).filter(F.size("lines") >= F.col("need")))
+    of_rare = F.when(n_rare >= FEWEST, F.struct(rare.alias("lines"), n_rare.alias("n"), part(n_rare).alias("need")))
+    need = F.greatest(F.lit(FEWEST), part(F.col("n_lines")))
+    of_all = F.when(n_rare < F.col("n_lines"), F.struct(F.col("shared").alias("lines"), F.col("n_lines").alias("n"), need.alias("need")))
+    ways = F.filter(F.array_compact(F.array(of_rare, of_all)), lambda x: F.size(x["lines"]) >= x["need"])
+    probes = held.filter("home is not null").select("rep", "class", "home", F.explode(ways).alias("_x"))
+    probes = stored(probes.select("rep", "class", "home", "_x.*"))
     first = F.slice("lines", F.lit(1), F.size("lines") - F.col("need") + 1)
-    wanted = probes.select("rep", "home", F.explode(first).alias("_x")).select("rep", "home", "_x.n", "_x.line").distinct()
-    index = held.select(F.col("rep").alias("hub"), F.col("home").alias("_home"), F.explode("shared.line").alias("line"))
+    s0, s1 = _signature(F.col("lines.line"))
+    # Each shared line is a shared bit, but for those of its own lines that fall on one bit.
+    wanted = probes.select("rep", "home", "need", F.size("lines").alias("_m"), s0.alias("_s0"), s1.alias("_s1"), F.explode(first).alias("_x"))
+    least = F.col("need") - F.col("_m") + F.bit_count("_s0") + F.bit_count("_s1")
+    wanted = stored(wanted.select("rep", "home", "_s0", "_s1", least.alias("_least"), "_x.n", "_x.line"))
+    h0, h1 = _signature(F.col("shared.line"))
+    index = held.select(F.col("home").alias("_home"), F.col("rep").alias("hub"), h0.alias("_h0"), h1.alias("_h1"), F.explode("shared.line").alias("line"))
     index = stored(index.join(wanted.select("line").distinct(), "line", "left_semi"))
+    alike = F.bit_count(F.col("_s0").bitwiseAND(F.col("_h0"))) + F.bit_count(F.col("_s1").bitwiseAND(F.col("_h1"))) >= F.col("_least")
     elsewhere = (F.col("rep") != F.col("hub")) & ~F.col("home").eqNullSafe(F.col("_home"))
 
     def contained(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter(elsewhere).select("rep", "hub").distinct()
+        pairs = pairs.filter(elsewhere & alike).select("rep", "hub").distinct()
         far = held.select(F.col("rep").alias("hub"), F.col("shared.line").alias("_far"))
         both = probes.select("rep", "class", F.col("lines.line").alias("_near"), "n", "need").join(pairs, "rep").join(far, "hub")
         common = F.size(F.array_intersect("_near", "_far"))
         return both.filter(common >= F.col("need")).groupBy("rep", "class").agg(F.max(common / F.col("n")).alias("share"))
 
     bucket = F.pmod(F.coalesce("_home", F.lit(0)), F.lit(HUBS))
-    ends = [f(F.when(bucket == k, F.struct("_home", "hub"))) for k in range(HUBS) for f in (F.min, F.max)]
+    ends = [f(F.when(bucket == k, F.struct("_home", "hub", "_h0", "_h1"))) for k in range(HUBS) for f in (F.min, F.max)]
     hubs = index.groupBy("line").agg(F.array_distinct(F.array_compact(F.array(*ends))).alias("_hubs"))
-    near = stored(contained(wanted.join(hubs, "line").select("rep", "home", F.explode("_hubs").alias("_x")).select("rep", "home", "_x.*")))
+    near = wanted.join(hubs, "line").withColumn("_x", F.explode("_hubs")).select("rep", "home", "_s0", "_s1", "_least", "_x.*")
+    near = stored(contained(near))
     parts = F.ceil(F.col("n") / HOT).cast("int")
     left = wanted.join(near, "rep", "left_anti").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     every = index.join(wanted.select("line", "n").distinct(), "line").withColumn("_part", F.pmod(F.xxhash64("hub"), parts).cast("int")).drop("n")
     found = near.unionByName(contained(left.join(every, ["line", "_part"])))
-    whole = heads.filter("low != high").join(held.select("rep", n_rare.alias("n")), "rep", "left")
-    whole = whole.filter(F.coalesce("n", F.size("hashes")) >= FEWEST).select("class", F.lit(1.0).alias("share"))
+    whole = heads.filter("low != high").select("class", F.lit(1.0).alias("share"))
     return found.select("class", "share").unionByName(whole).groupBy("class").agg(F.max("share").alias("share"))
 
 

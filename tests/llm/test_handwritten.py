@@ -71,6 +71,22 @@ def test_every_holder_of_a_line_is_compared(spark):
     assert set(judge(spark, rows)) == {len(rows) - 2, len(rows) - 1}
 
 
+def test_edited_copies_of_one_library_that_hold_a_third_of_all_files(spark):
+    lib = code("hot", 20)
+    rows = [(f"x/{k}.go", edited(lib, k, 2), f"r{k}") for k in range(60)] + [(f"y/{k}.go", code(f"own{k}"), f"r{k}") for k in range(120)]
+    assert set(judge(spark, rows)) == set(range(60))
+
+
+def test_same_code_is_a_copy_if_its_lines_are_common_or_few(spark):
+    lib = code("hot", 20)
+    rows = [(f"x/{k}.go", edited(lib, k, 2), "one") for k in range(60)] + [("x/a.go", lib, "p"), ("x/b.go", "// Ours.\n" + lib, "q"), ("x/c.go", code("few", 3), "p"), ("x/d.go", code("few", 3), "q")]
+    assert set(judge(spark, rows)) >= {60, 61, 62, 63}
+    # Few common lines that two files share by chance are none.
+    idioms = code("idioms", 5).splitlines()
+    rows = [(f"x/{k}.go", code(f"own{k}", 3) + "\n".join(idioms) + "\n", f"r{k}") for k in range(40)]
+    assert not judge(spark, rows)
+
+
 def test_empty(spark):
     files = spark.createDataFrame([], FILES)
     assert not_handwritten(files, spark.createDataFrame([], "file_id long, content string")).count() == 0
