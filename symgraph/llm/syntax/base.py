@@ -190,8 +190,7 @@ class Parser:
         try:
             self.remembered(name, rule)
         except Bad as e:
-            if len(self.faults) < 200:
-                self.faults.append(Fault(e.token, e.cause))
+            self.faults.append(Fault(e.token, e.cause))
             self.p = max(self.p, start)
             self.skip(start)
         except RecursionError:
@@ -290,9 +289,6 @@ class Lexer:
         """The number in the pattern's sequence of each code, if they differ."""
         return None
 
-    def offset(self, text: str, number: int) -> int:
-        """Where in the text a token begins."""
-        for k, m in enumerate(self.pattern.finditer(text)):
-            if k == number:
-                return m.start(1)
-        return len(text)
+    def offsets(self, text: str) -> list[int]:
+        """Where in the text each token begins."""
+        return [m.start(1) for m in self.pattern.finditer(text)]

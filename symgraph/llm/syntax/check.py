@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import sys
+from bisect import bisect_left
 from typing import NamedTuple
 
 from symgraph.llm.syntax.base import Fault, Parser, brackets, kinds_of
@@ -46,11 +48,16 @@ def check(text: str, language: str) -> Report:
     if script:
         lexer.kinds(source)
     places = None if script else lexer.places(source)
+    starts = lexer.at if script else lexer.offsets(source)
+    breaks = [m.start() for m in re.finditer("\n", source)]
 
     def line(fault: Fault) -> int:
         k = min(fault.token, len(kinds) - 1)
-        at = lexer.at[min(k, len(lexer.at) - 1)] if script else lexer.offset(source, places[k] if places else k)
-        return source.count("\n", 0, at) + 1
-
-    both = sorted({*faults, *parser.faults})[:50]
-    return Report(False, sorted(early + [(line(f), f.cause) for f in both]))
+        if script:
+            at = starts[min(k, len(starts) - 1)]
+        else:
+            number = places[k] if places else k
+            at = starts[number] if number < len(starts) else len(source)
+        return bisect_left(breaks, at) + 1
+
+    return Report(False, sorted(early + [(line(f), f.cause) for f in {*faults, *parser.faults}]))

@@ -118,8 +118,8 @@ class PythonLexer(Lexer):
         self.kinds(text)
         return self.placed
 
-    def offset(self, text: str, number: int) -> int:
-        return max(0, super().offset("\n" + text, number) - 1)
+    def offsets(self, text: str) -> list[int]:
+        return [max(0, x - 1) for x in super().offsets("\n" + text)]
 
 
 PYTHON_LEXER = PythonLexer(

@@ -119,6 +119,17 @@ def test_long_and_deep_texts():
     assert check("var x = " + "a + " * 20_000 + "b;", "javascript").valid
 
 
+def test_all_errors_are_kept():
+    damaged = {"python": "x = = 1\n", "go": "var x = = 1\n", "javascript": "x = = 1;\n", "java": "int x = = 1;\n", "c": "int x = = 1;\n", "rust": "const X: i32 = = 1;\n"}
+    head = {"go": "package a\n", "java": "class A {\n"}
+    for language, text in damaged.items():
+        top = head.get(language, "")
+        errors = check(top + text * 400 + ("}\n" if language == "java" else ""), language).errors
+        first = 2 if top else 1
+        assert [n for n, _ in errors] == [*range(first, first + 400)], language
+    assert len(check("x = = 1\n" * 20_000, "python").errors) == 20_000
+
+
 def test_frame(spark):
     from datetime import datetime
 
