@@ -303,8 +303,9 @@ def _round(model: Model, n: int):
 def subject_shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
     """For every document the areas its sentences deal with: doc_id, subject, n_sentences, share.
 
-    Interruptions, page furniture, agenda formulas and sentences without telling terms do not count, nor do sentences
-    quoted from the texts `quotes` (column text; nulls are ignored). Documents of null
+    Interruptions, page furniture, agenda formulas and sentences without telling terms do not count; nor, if the caller
+    gives texts `quotes` (column text; nulls are ignored), do sentences quoted from them or built like theirs, which may
+    take a speaker's own sentences too. Documents of null
     id or text, and those without a telling sentence, give no rows. Labels may be wrong, missing or repeated; labels of
     unknown subjects are ignored, and without labels the descriptions alone are the seeds. No subjects give no rows.
     Of repeated rows of a document each is judged, and equal results fall together. Other columns are ignored.

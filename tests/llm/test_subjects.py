@@ -82,3 +82,20 @@ def test_quotations_do_not_count(spark):
     found = {r.subject for r in subject_shares(docs, labels, subjects, quotes).filter(f"doc_id = {law}").collect()}
     assert found == {"law"}
     assert "health" in {r.subject for r in subject_shares(docs, labels, subjects).filter(f"doc_id = {law}").collect()}
+
+
+def test_own_sentences_count_though_an_item_has_some_of_their_words(spark, tmp_path):
+    from symgraph.llm.queries import p8_shares
+
+    rows, truth = corpus(200)
+    rows.append((999, "Who pays for the bail hearings when the money is gone?", 5, 0.0, ""))
+    tables = {
+        "documents": spark.createDataFrame(rows, DOCS),
+        "doc_labels": spark.createDataFrame([(d, s) for d in truth if d % 2 for s in truth[d]], "doc_id long, subject string"),
+        "subjects": spark.createDataFrame([(s, "") for s in NOUNS], "subject string, description string"),
+        "eval_items": spark.createDataFrame([(1, "It is said of him who pays for the ferry to Vusofo that he sails when the money is gone and no wind blows.")], "item_id long, text string"),
+    }
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = [(r.subject, r.n_sentences) for r in p8_shares(spark, str(tmp_path)).filter("doc_id = 999").collect()]
+    assert found == [("law", 1)]
