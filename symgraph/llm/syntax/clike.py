@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from symgraph.llm.syntax.base import CHAR, CODES, END, NAME, NUMBER, TEXT, Bad, Lexer, Parser
+from symgraph.llm.syntax.base import CHAR, CODES, END, NAME, NUMBER, TEXT, Bad, Fault, Lexer, Parser
 
 _NUMBER = r"(?:0[xX][0-9a-fA-F_.]+(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)"
 _STRING = r'"[^"\\\n\r]*+(?:\\(?:\r\n|.)[^"\\\n\r]*+)*+"'
@@ -465,6 +465,20 @@ class Java(Parser):
     BINARY = levels("||", "&&", "|", "^", "&", "== !=", "< > <= >= instanceof", "<<", "+ -", "* / %")
     seen: dict[str, int] = {}
 
+    def file(self) -> None:
+        # The order of units is none of a unit's shape, so it is not checked in what is remembered.
+        begun = typed = False
+        while not self.at(END):
+            start, kind = self.p, self.k[self.p]
+            if typed and kind == "import":
+                self.faults.append(Fault(start, "imports come first"))
+            self.tolerant("unit", self.unit)
+            package = kind == "package" or (kind == "@" and "package" in self.k[start : self.p])
+            if begun and package:
+                self.faults.append(Fault(start, "package comes first"))
+            begun = begun or kind != ";"
+            typed = typed or not (package or kind in ("import", ";"))
+
     def unit(self) -> None:
         if self.eat(";"):
             return
@@ -476,11 +490,8 @@ class Java(Parser):
                 self.need("*")
             self.need(";")
             return
-        p = self.p
         self.modifiers()
         if self.at("package"):
-            if any(x in ("class", "import") for x in self.k[:p]):
-                self.bad("package comes first")
             self.p += 1
             self.name()
             self.need(";")
@@ -1057,13 +1068,17 @@ class Go(Parser):
     BINARY = levels("||", "&&", "== != < <= > >=", "+ - | ^", "* / % << >> & &^")
     seen: dict[str, int] = {}
     composite = True
-    started = 0
 
     def file(self) -> None:
         if self.at(END):
             return
         self.tolerant("package", self.package)
+        started = False
         while not self.at(END):
+            # The order of units is none of a unit's shape, so it is not checked in what is remembered.
+            if started and self.at("import"):
+                self.faults.append(Fault(self.p, "imports come first"))
+            started = started or self.at("const", "var", "type", "func")
             self.tolerant("unit", self.unit)
 
     def package(self) -> None:
@@ -1078,8 +1093,6 @@ class Go(Parser):
             return
         self.composite = True
         if k == "import":
-            if self.started == 1:
-                self.bad("imports come first")
             self.p += 1
             self.group(self.import_spec)
         elif k in ("const", "var", "type"):

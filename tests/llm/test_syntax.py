@@ -130,6 +130,18 @@ def test_all_errors_are_kept():
     assert len(check("x = = 1\n" * 20_000, "python").errors) == 20_000
 
 
+def test_order_of_package_imports_and_declarations():
+    go = 'package a\n\nimport "b"\n\nfunc f() {}\n'
+    assert check(go, "go").valid and check('package a\nimport "b"\nimport ("c"; "d")\nvar x = 1\n', "go").valid
+    assert check(go + '\nimport "c"\n', "go").errors == [(7, "imports come first")]
+    java = "package a.b;\nimport c.d;\nclass E {}\n"
+    assert check(java, "java").valid and check("@A package a.b;\nimport c.d;\n@A class E {}\n@A class F {}\n", "java").valid
+    assert check(java + "import f.g;\n", "java").errors == [(4, "imports come first")]
+    # Whatever was read before: here, a valid package declaration before the same kind of token.
+    assert check("package a.b;\nclass E {}\n", "java").valid
+    assert not check("import c.d;\npackage a.b;\nclass E {}\n", "java").valid and not check(java * 2, "java").valid
+
+
 def test_frame(spark):
     from datetime import datetime
 
