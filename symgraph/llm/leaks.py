@@ -28,7 +28,7 @@ BLOCK, ITEM_WORDS = 500, 400
 _SCHEMA = "doc_id long, item_id long, words int, errors int"
 
 _MOJIBAKE = re.compile("[ÂÃ][\u0080-¿]")
-_LINE_END = re.compile(r"(?<=\w)[-­‐]\s*\n\s*(?=\w)")
+_LINE_END = re.compile(r"[-­‐](?<=\w[-­‐])\s*\n\s*(?=\w)")
 _FURNITURE = re.compile(r"(?m)^[^\S\n]*\w+[^\S\n]+\d+[^\S\n]+[-–—][^\S\n]+\d+[^\S\n]+[-–—][^\S\n]*\r?$")
 _PAGE = re.compile(r"[-–—]\s*\d+\s*[-–—]")
 _GLUE = re.compile(r"(?<=\w)['’ʼ\-­‐](?=\w)")

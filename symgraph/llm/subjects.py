@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +23,7 @@ from symgraph.llm.leaks import _BRACKETS, _FURNITURE, _LINE_END, _MOJIBAKE
 from symgraph.session import stored
 
 #: Singular vectors kept: more than there are subjects in all languages, far fewer than terms.
-RANK = 64
+RANK = 48
 #: Steps of the orthogonal iteration before the first round, with one more in each round; rounds.
 STEPS, ROUNDS = 3, 2
 #: A term of the vocabulary is in this share of all documents, and in FEWEST of them. The share bounds the vocabulary at
@@ -53,20 +54,20 @@ FORMULAS = (
     "ich rufe auf", "wir kommen zu", "damit schließe ich die aussprache", "l'ordre du jour appelle", "nous passons à", "la parole est à",
     "das wort hat", "i call",
 )
-_ABBREVIATION = re.compile(r"\b(Mr|Mrs|Ms|Dr|Prof|Abg|St|Nr|Mme|Hon)\.(?=\s)|\b([A-Z])\.(?=\s+[A-Z])")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"”»“]?\s+|\n\s*\n")
+#: What a full stop does not end. Patterns begin with the mark they seek, so that texts are passed over fast.
+_SHORT = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Abg", "St", "Nr", "Mme", "Hon")
+_ABBREVIATION = re.compile(r"\.(?=\s)(?:" + "|".join(rf"(?<=\b{x}\.)" for x in _SHORT) + r"|(?<=\b[A-Z]\.)(?=\s+[A-Z]))")
+_SENTENCE = re.compile(r"[.!?…][\"”»“]?\s+|\n\s*\n")
 _ASIDE = re.compile(r"[–—]\s+[^–—\n]{1,80}:\s[^–—\n]{1,80}[!?.]\s+[–—]")
 _DASHES = re.compile(r"[–—]\s*[–—]")
-_FORMULA = re.compile("|".join(re.escape(f) for f in FORMULAS))
-#: A term, the end of a sentence, or the mark of a formula.
-_PIECE = re.compile(r"[^\W\d_]{2,}|[\0\1]")
+_TERM = re.compile(r"[^\W\d_]{2,}")
 _STOPS = {w: k for k, words in enumerate(STOP_WORDS.values()) for w in words.split()}
 GROUPS = len(STOP_WORDS) + 1
 
 
 def cleaned(text: str) -> str:
     """A speech without interruptions, page furniture, damaged encoding and broken words, with \\0 between its sentences."""
-    text = text.replace("\0", " ").replace("\1", " ")
+    text = text.replace("\0", " ")
     if "Ã" in text or "Â" in text:
         text = _MOJIBAKE.sub(lambda m: m.group().encode("latin-1").decode("utf-8", "replace"), text)
     if "\n" in text:
@@ -76,7 +77,7 @@ def cleaned(text: str) -> str:
     if "–" in text or "—" in text:
         text = _DASHES.sub(" ", _ASIDE.sub(" ", text))
     if "." in text:
-        text = _ABBREVIATION.sub(lambda m: m.group(1) or m.group(2), text)
+        text = _ABBREVIATION.sub("", text)
     return _SENTENCE.sub("\0", text)
 
 
@@ -88,23 +89,16 @@ class Terms:
 
     def of(self, text: str) -> tuple[int, list[list[int]], list[bool]]:
         """The language group, the distinct terms of each sentence, and which sentences are formulas of the chair."""
-        text = _FORMULA.sub(lambda m: "\1" + m.group(), cleaned(text).lower())
-        sentences: list[list[str]] = [[]]
-        formulas = [False]
-        for w in _PIECE.findall(text):
-            if w == "\0":
-                if sentences[-1]:
-                    sentences.append([])
-                    formulas.append(False)
-            elif w == "\1":
-                formulas[-1] = True
-            else:
-                sentences[-1].append(w)
+        text = cleaned(text).lower()
+        told = [f for f in FORMULAS if f in text]
+        sentences, formulas = [], []
+        for sentence in text.split("\0"):
+            if words := _TERM.findall(sentence):
+                sentences.append(words)
+                formulas.append(any(f in sentence for f in told))
         votes = [0] * (GROUPS - 1)
-        for s in sentences:
-            for w in s:
-                if w in _STOPS:
-                    votes[_STOPS[w]] += 1
+        for k in [_STOPS[w] for s in sentences for w in s if w in _STOPS]:
+            votes[k] += 1
         group = votes.index(max(votes)) if any(votes) else GROUPS - 1
         known = self.known[group]
         if len(known) > 500_000:
@@ -118,8 +112,6 @@ class Terms:
                     if w not in known:
                         known[w] = group << 61 | xxhash.xxh64_intdigest(w) >> 3
                 out.append([known[w] for w in dict.fromkeys(s)])
-        if not out[-1]:
-            del out[-1], formulas[-1]
         return group, out, formulas
 
 
@@ -252,11 +244,14 @@ class Part:
 
     def added(self, table: np.ndarray, weights: np.ndarray) -> None:
         """Adds to the terms' rows of `table` the sentences' rows of `weights`."""
-        for s in range(table.shape[1]):
-            kept = weights[:, s] != 0
-            if kept.any():
-                at = kept[self.row]
-                table[:, s] += np.bincount(self.terms[at], weights[self.row[at], s], len(table))
+        width = table.shape[1]
+        order = np.argsort(-weights, axis=1, kind="stable")
+        for k in range(int((weights > 0).sum(axis=1).max(initial=0))):  # few sentences have many classes
+            cls = order[:, k]
+            weight = np.take_along_axis(weights, cls[:, None], axis=1)[:, 0]
+            at = np.flatnonzero((weight > 0)[self.row])
+            row = self.row[at]
+            table += np.bincount(self.terms[at] * width + cls[row], weight[row], table.size).reshape(table.shape)
 
     def pulled(self, z: np.ndarray, shares: np.ndarray) -> np.ndarray:
         """The sums of the documents' unit vectors by language and class."""
@@ -334,8 +329,13 @@ def featured(docs: DataFrame, labels: DataFrame, names: list[str]) -> tuple[Data
         terms = Terms()
         for batch in batches:
             found = [terms.of(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([f[0] for f in found], pa.int8()), pa.array([[len(s) for s in f[1]] for f in found], pa.list_(pa.int32()))]
-            columns += [pa.array([[t for s in f[1] for t in s] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.bool_()))]
+            every = [s for f in found for s in f[1]]
+            sizes = np.fromiter(map(len, every), np.int64, len(every))
+            ends = np.concatenate([[0], np.cumsum([len(f[1]) for f in found])]).astype(np.int32)
+            flat = np.fromiter(chain.from_iterable(every), np.int64, int(sizes.sum()))
+            term_ends = pa.array(np.concatenate([[0], np.cumsum(sizes)])[ends].astype(np.int32))
+            columns = [batch.column(0), pa.array([f[0] for f in found], pa.int8()), pa.ListArray.from_arrays(pa.array(ends), pa.array(sizes.astype(np.int32)))]
+            columns += [pa.ListArray.from_arrays(term_ends, pa.array(flat)), pa.ListArray.from_arrays(pa.array(ends), pa.array([x for f in found for x in f[2]], pa.bool_()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "sizes", "terms", "formulas"])
 
     kept = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
