@@ -18,15 +18,18 @@ GENERATED_NAMES = r"(_generated\.[^./]+|\.generated\.[^./]+|\.gen\.[^./]+|_gen\.
 MINIFIED_NAMES = r"[.-](min|bundle)\.(js|mjs|cjs|css)$"
 #: What a generator says of the file in a comment line of its head; text about generators does not say it.
 GENERATED_BANNER = (
-    r"(?im)^\W*(code generated by\b|generated (from|by|with)\b|auto-?generated\b|<auto-generated|@generated\b"
+    r"\W*(code generated by\b|generated (from|by|with)\b|auto-?generated\b|<auto-generated|@generated\b"
     r"|(this|the) (file|code) (is|was|has been) (automatically |auto-?)?generated\b|automatically (created|generated) (by|from)\b)"
 )
 VENDORED_BANNER = (
-    r"(?im)(\breleased under the\b.*\blicen[cs]e\b|\bredistribution is allowed\b|\bpermissive licen[cs]e\b|\blicen[cs]ed under the\b"
+    r".*?(\breleased under the\b.*\blicen[cs]e\b|\bredistribution is allowed\b|\bpermissive licen[cs]e\b|\blicen[cs]ed under the\b"
     r"|\bpermission is hereby granted\b|\bspdx-license-identifier\b|\bredistribution and use in source\b)"
 )
+#: The head of a file: its first lines, and all lines before the first one of code.
 HEAD_LINES = 12
-COMMENT = r"^\s*(//|#(?![\[!]|\s*(include|define|if|ifdef|ifndef|else|endif|undef|pragma|error)\b)|/\*|\*(?!\w)|--|<!--)"
+MARK = r"(//|#(?![\[!]|\s*(include|define|if|ifdef|ifndef|else|endif|undef|pragma|error)\b)|/\*|\*(?!\w)|--|<!--)"
+#: Blanks at the start of a line and the mark of a comment.
+COMMENT = r"^[^\S\n]*" + MARK
 LITERAL = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`|\b0[xX][0-9a-fA-F]+\b|\b\d[\d_.]*\b"
 
 #: A line is rare if at most this share of the distinct files has it, or RARE_LINES files.
@@ -53,26 +56,30 @@ def text_features(contents: DataFrame) -> DataFrame:
 
     class is a hash of the code lines without spacing and comments, so it stays the same under another banner.
     """
+    rows = contents.select("file_id", F.regexp_replace("content", r"\r\n?", "\n").alias("content")).filter("file_id is not null")
     text = F.col("content")
-    head = F.array_join(F.filter(F.slice("_lines", 1, HEAD_LINES), lambda x: x.rlike(COMMENT)), "\n")
-    rest = F.regexp_replace(text, LITERAL, "")
-    plain = F.transform("_lines", lambda x: F.regexp_replace(F.regexp_replace(x, COMMENT + ".*", ""), r"\s+", ""))
-    shapes = F.filter(F.transform("_lines", lambda x: F.regexp_replace(F.trim(x), r"\d+", "0")), lambda x: F.length(x) > 5)
-    rows = contents.select("file_id", text, F.split(text, r"\r\n|\r|\n").alias("_lines")).filter("file_id is not null")
+    sub = lambda column, pattern, by="": F.regexp_replace(column, pattern, by)
+    # The text before the first line that has something other than a comment.
+    before = F.regexp_instr(text, F.lit(r"(?md)^[^\S\n]*(?!" + MARK + r")\S"))
+    leading = F.when(before > 0, F.substring(text, F.lit(1), before - 1)).otherwise(text)
+    head = F.concat_ws("\n", F.substring_index(text, "\n", HEAD_LINES), leading)
+    says = lambda banner: head.rlike("(?imd)" + COMMENT + banner)
+    plain = sub(sub(text, "(?md)" + COMMENT + ".*$"), r"[^\S\n]+")
+    # One line each without spaces at its ends, digits as one zero.
+    shapes = F.filter(F.split(sub(text, r"\d+", "0"), r"[^\S\n]*\n\s*"), lambda x: F.length(x) > 5)
     rows = rows.select(
-        "file_id", F.length(text).alias("_chars"), head.alias("_head"), F.filter(plain, lambda x: x != "").alias("_plain"), shapes.alias("_shapes"),
-        F.length(F.regexp_replace(text, r"\s+", "")).alias("_black"),
-        F.length(F.regexp_replace(rest, r"\s+", "")).alias("_code"),
-        F.length(F.regexp_replace(rest, r"[\s,;\[\]{}()]+", "")).alias("_words"),
-        F.aggregate("_lines", F.lit(0), lambda n, x: n + F.when(F.length(x) > 400, F.length(x)).otherwise(0)).alias("_long"),
+        "file_id", F.length(text).alias("_chars"), says(GENERATED_BANNER).alias("_generated"), says(VENDORED_BANNER).alias("_vendored"),
+        sub(plain, r"\n{2,}", "\n").alias("_plain"), shapes.alias("_shapes"), F.length(sub(text, r"\s+")).alias("_black"), sub(sub(text, LITERAL), r"\s+").alias("_code"),
+        F.aggregate(F.split(text, "\n"), F.lit(0), lambda n, x: n + F.when(F.length(x) > 400, F.length(x)).otherwise(0)).alias("_long"),
     )
+    rows = rows.withColumns({"_code": F.length("_code"), "_words": F.length(sub(F.col("_code"), r"[,;\[\]{}()]+")), "_plain": F.trim(F.col("_plain"), F.lit("\n"))})
     data = F.col("_black") - F.col("_code")
     share = data / (data + F.col("_words") + 1)
     enough = F.col("_chars") >= 150
-    hashes = F.array_distinct(F.transform(F.filter("_plain", lambda x: F.length(x) >= 12), lambda x: F.xxhash64(x)))
+    hashes = F.array_distinct(F.transform(F.filter(F.split("_plain", "\n"), lambda x: F.length(x) >= 12), lambda x: F.xxhash64(x)))
     rows = rows.select(
-        "file_id", "_chars", F.substring(F.unhex(F.sha2(F.array_join("_plain", "\n"), 256)), 1, 16).alias("class"), hashes.alias("hashes"),
-        F.col("_head").rlike(GENERATED_BANNER).alias("_generated"), F.col("_head").rlike(VENDORED_BANNER).alias("_vendored"), (enough & (share >= 0.87)).alias("_data"),
+        "file_id", "_chars", F.substring(F.unhex(F.sha2("_plain", 256)), 1, 16).alias("class"), hashes.alias("hashes"),
+        "_generated", "_vendored", (enough & (share >= 0.87)).alias("_data"),
         (enough & (F.col("_long") > 0.8 * F.col("_chars")) & (share < 0.6) & (F.col("_black") > 0.92 * F.col("_chars"))).alias("_dense"),
         ((F.size("_shapes") >= 12) & (F.size(F.array_distinct("_shapes")) < 0.4 * F.size("_shapes"))).alias("_repeats"),
     )

@@ -92,3 +92,17 @@ def test_empty(spark):
     assert not_handwritten(files, spark.createDataFrame([], "file_id long, content string")).count() == 0
     one = spark.createDataFrame([(1, "r", "vendor/a.go", "go", 1, T, "", 1)], FILES)
     assert not_handwritten(one, spark.createDataFrame([], "file_id long, content string")).count() == 1
+
+
+def test_a_banner_below_a_long_licence_is_seen(spark):
+    code = "package a\n\nfunc F%d() int {\n\treturn %d\n}\n"
+    licence = "".join(f"// Line {k} of a licence of Quarrystone Works that goes on.\n" for k in range(40))
+    texts = {
+        1: licence + "// Code generated by protomill. DO NOT EDIT.\n" + code % (1, 1),
+        2: licence + code % (2, 2) + "// Code generated by hand, said nobody.\n",
+        3: (licence + "// Code generated by protomill. DO NOT EDIT.\n" + code % (3, 3)).replace("\n", "\r"),
+        4: licence,
+    }
+    files = spark.createDataFrame([(k, "r", f"src/a{k}.go", "go", 100, None, "x") for k in texts], "file_id long, repo_id string, rel_path string, language string, size long, indexed_at timestamp, content string")
+    contents = spark.createDataFrame(list(texts.items()), "file_id long, content string")
+    assert {(r.file_id, r.rule) for r in not_handwritten(files, contents).collect()} == {(1, "generated banner"), (3, "generated banner")}
