@@ -64,15 +64,16 @@ def text_features(contents: DataFrame) -> DataFrame:
     leading = F.when(before > 0, F.substring(text, F.lit(1), before - 1)).otherwise(text)
     head = F.concat_ws("\n", F.substring_index(text, "\n", HEAD_LINES), leading)
     says = lambda banner: head.rlike("(?imd)" + COMMENT + banner)
-    plain = sub(sub(text, "(?md)" + COMMENT + ".*$"), r"[^\S\n]+")
-    # One line each without spaces at its ends, digits as one zero.
-    shapes = F.filter(F.split(sub(text, r"\d+", "0"), r"[^\S\n]*\n\s*"), lambda x: F.length(x) > 5)
+    plain = sub(sub(text, "(?md)" + COMMENT + ".*$"), r"[^\S\n]+|\n(?=\s*(?:\n|\z))")
+    long = F.aggregate(F.split(text, "\n"), F.lit(0), lambda n, x: n + F.when(F.length(x) > 400, F.length(x)).otherwise(0))
     rows = rows.select(
         "file_id", F.length(text).alias("_chars"), says(GENERATED_BANNER).alias("_generated"), says(VENDORED_BANNER).alias("_vendored"),
-        sub(plain, r"\n{2,}", "\n").alias("_plain"), shapes.alias("_shapes"), F.length(sub(text, r"\s+")).alias("_black"), sub(sub(text, LITERAL), r"\s+").alias("_code"),
-        F.aggregate(F.split(text, "\n"), F.lit(0), lambda n, x: n + F.when(F.length(x) > 400, F.length(x)).otherwise(0)).alias("_long"),
+        F.trim(plain, F.lit("\n")).alias("_plain"), F.length(sub(text, r"\s+")).alias("_black"), sub(sub(text, LITERAL), r"\s+").alias("_code"),
+        F.when(text.rlike(r"(?md)^[^\n]{401}"), long).otherwise(0).alias("_long"),
     )
-    rows = rows.withColumns({"_code": F.length("_code"), "_words": F.length(sub(F.col("_code"), r"[,;\[\]{}()]+")), "_plain": F.trim(F.col("_plain"), F.lit("\n"))})
+    # The shapes of lines of code: numbers are one zero.
+    shapes = F.filter(F.split(sub(F.col("_plain"), r"\d+", "0"), "\n"), lambda x: F.length(x) > 5)
+    rows = rows.withColumns({"_code": F.length("_code"), "_words": F.length(sub(F.col("_code"), r"[,;\[\]{}()]+")), "_shapes": shapes})
     data = F.col("_black") - F.col("_code")
     share = data / (data + F.col("_words") + 1)
     enough = F.col("_chars") >= 150
