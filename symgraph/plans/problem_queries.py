@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.operators.incremental import CommitLog, pending_entries
+from symgraph.operators.incremental import CommitLog, pending_of, process_pending
 from symgraph.operators.skew import imbalance
 from symgraph.session import load, shared_dir
 
@@ -25,26 +27,34 @@ def p2_values(spark: SparkSession, base: str) -> DataFrame:
     return _values(spark, base).select("field", "val", "n_rows", "n_members", "hot")
 
 
+def _log(spark: SparkSession) -> CommitLog:
+    """A new log in the shared folder."""
+    return CommitLog(spark, f"{shared_dir(spark)}/commits-{uuid.uuid4().hex}")
+
+
+def _tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return load(spark, base, "walk_entries"), load(spark, base, "files"), load(spark, base, "index_runs")
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return p5_pending(spark, base).select("entry_id")
 
 
 def p5_pending(spark: SparkSession, base: str) -> DataFrame:
-    return pending_entries(*(load(spark, base, t) for t in ("walk_entries", "files", "index_runs")))
+    """What the next run must process, as a run over a new log commits it."""
+    log = _log(spark)
+    process_pending(log, *_tables(spark, base))
+    return pending_of(log).drop("run")
 
 
 def p5_runs(spark: SparkSession, base: str) -> DataFrame:
-    """The commit log over walk_entries in two runs, the first up to the middle of the sequence: all rows, each once."""
-    import uuid
-
-    walk = load(spark, base, "walk_entries")
-    log = CommitLog(spark, f"{shared_dir(spark)}/commits-{uuid.uuid4().hex}")
-    top = walk.agg(F.max("entry_id")).first()[0] or 0
+    """Pending entries by run and repository when the entries arrive in two parts: no record twice, none left out."""
+    walk, files, runs = _tables(spark, base)
+    log, top = _log(spark), walk.agg(F.max("entry_id")).first()[0] or 0
     for part in (walk.filter(F.col("entry_id") <= top // 2), walk):
-        log.run(part, "entry_id", lambda new: new.select("entry_id", "repo_id", "size"))
-    done = log.read()
-    done = done if done is not None else walk.select("entry_id", "repo_id", "size")
-    return done.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entry_id").alias("n_entries"), F.sum("size").alias("total_size"))
+        process_pending(log, part, files, runs)
+    log.compact(("sights", "pending"))
+    return pending_of(log).groupBy("run", "repo_id").agg(F.count(F.lit(1)).alias("n_pending"), F.countDistinct("entry_id").alias("n_entries"), F.max("entry_id").alias("last_entry"))
 
 
 _VALUES_SQL = """
@@ -53,9 +63,11 @@ _VALUES_SQL = """
   FROM {t} GROUP BY {c}"""
 _VALUES = " UNION ALL ".join(_VALUES_SQL.format(f=f, t=t, c=c) for f, t, c in FIELDS)
 
-_PENDING = """
-  WITH w AS (
-    SELECT *, CASE WHEN rel_path LIKE './%' THEN substr(rel_path, 3) ELSE rel_path END AS p FROM walk_entries),
+_SIGHTS = """
+    SELECT *, CASE WHEN rel_path LIKE './%' THEN substr(rel_path, 3) ELSE rel_path END AS p FROM walk_entries
+    WHERE entry_id <= {upto}"""
+_COMPARED = """
+  WITH w AS ({sights}),
   w1 AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY repo_id, p ORDER BY seen_at DESC, entry_id DESC) = 1),
   f1 AS (
     SELECT f.* FROM files f
@@ -70,6 +82,14 @@ _PENDING = """
            WHEN coalesce(w1.mtime_ns, 0) <> coalesce(f1.mtime_ns, 0) OR w1.size IS DISTINCT FROM f1.size THEN 'stat' END AS why
     FROM w1 LEFT JOIN f1 ON f1.repo_id = w1.repo_id AND f1.rel_path = w1.p)
   SELECT entry_id, repo_id, rel_path, why FROM j WHERE why IS NOT NULL"""
+_TOP = "(SELECT max(entry_id) FROM walk_entries)"
+_PENDING = _COMPARED.format(sights=_SIGHTS.format(upto=_TOP))
+_FIRST = _COMPARED.format(sights=_SIGHTS.format(upto=f"{_TOP} // 2"))
+_RUNS = f"""
+  SELECT run, repo_id, count(*) AS n_pending, count(DISTINCT entry_id) AS n_entries, max(entry_id) AS last_entry
+  FROM (SELECT CAST(1 AS BIGINT) AS run, * FROM ({_FIRST})
+        UNION ALL SELECT CAST(2 AS BIGINT), * FROM ({_PENDING}) WHERE entry_id > {_TOP} // 2)
+  GROUP BY run, repo_id"""
 
 QUERIES = {"p2_found": p2_found, "p2_values": p2_values, "p5_found": p5_found, "p5_pending": p5_pending, "p5_runs": p5_runs}
 SQL = {
@@ -77,5 +97,5 @@ SQL = {
     "p2_values": _VALUES,
     "p5_found": f"SELECT entry_id FROM ({_PENDING})",
     "p5_pending": _PENDING,
-    "p5_runs": "SELECT repo_id, count(*) AS n_rows, count(DISTINCT entry_id) AS n_entries, CAST(sum(size) AS BIGINT) AS total_size FROM walk_entries GROUP BY 1",
+    "p5_runs": _RUNS,
 }

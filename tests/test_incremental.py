@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from symgraph.operators.incremental import CommitLog, committed_files, last_sights, pending_entries
+from symgraph.operators.incremental import CommitLog, committed_files, last_sights, pending_entries, pending_of, process_pending
 
 T = datetime(2031, 3, 1)
 WALK = "entry_id long, repo_id string, rel_path string, mtime_ns long, size long, hash string, seen_at timestamp, f string"
@@ -69,10 +69,59 @@ def test_commit_log(spark, tmp_path):
     # A run that wrote its output but died before the commit leaves nothing that readers see.
     rows(10, 20).write.parquet(f"{tmp_path}/log/data/orphan")
     assert log.read().count() == 10
-    assert log.run(rows(0, 20), "seq", lambda d: d) == {"low": 9, "upto": 19, "data": log._entry(log._commits()[-1])["data"]}
+    assert log.run(rows(0, 20), "seq", lambda d: d) == {"low": 9, "upto": 19, "data": log.last()[1]["data"]}
     assert log.run(rows(0, 20), "seq", lambda d: d) is None
     assert sorted(r.seq for r in log.read().collect()) == list(range(20))
     # Of two runs for the same number one wins.
     assert log.commit(2, {"low": 9, "upto": 99, "data": "x"}) is False and log.watermark() == (2, 19)
     with pytest.raises(ValueError):
         log.run(spark.createDataFrame([(None, "x")], "seq long, v string"), "seq", lambda d: d)
+
+
+def test_pending_through_the_log(spark, tmp_path):
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    runs = [(1, "r", h(0), h(30), "OK", "")]
+    files = [(1, "r", "a", "ha", 5, 9, h(1), ""), (2, "r", "b", "hb", 5, 9, h(1), "")]
+    first = [(1, "r", "a", 5, 9, "ha", h(40), ""), (2, "r", "./b", 5, 9, "hx", h(40), ""), (3, "r", "c", 5, 9, "hc", h(40), ""), (None, "r", "d", 1, 1, "q", h(50), "")]
+    walk, f, r = tables(spark, first * 2, files, runs)
+    got = lambda: sorted((x.run, x.entry_id, x.why) for x in pending_of(log).collect())
+    assert got() == [] and process_pending(log, walk.limit(0), f, r) is None
+    assert process_pending(log, walk, f, r)["upto"] == 3
+    assert got() == [(1, 2, "bytes"), (1, 3, "new")]
+    assert process_pending(log, walk, f, r) is None
+    # Late rows: 4 is older than what was seen of b; 5 brings a back to new bytes; 6 is a new path.
+    walk, f, r = tables(spark, [*first, (4, "r", "b", 5, 9, "hz", h(10), ""), (5, "r", "a", 6, 9, "hy", h(41), ""), (6, "r", "e", 6, 9, "", h(2), "")], files, runs)
+    assert process_pending(log, walk, f, r)["low"] == 3
+    assert got() == [(1, 2, "bytes"), (1, 3, "new"), (2, 5, "bytes"), (2, 6, "new")]
+    assert log.compact(("sights", "pending")) and log.watermark() == (3, 6) and len(log.last()[1]["folders"]) == 1
+    assert got() == [(1, 2, "bytes"), (1, 3, "new"), (2, 5, "bytes"), (2, 6, "new")]
+
+
+def test_run_lost_between_output_and_commit(spark, tmp_path, monkeypatch):
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    walk, f, r = tables(spark, [(1, "r", "a", 5, 9, "ha", h(40), "")], [], [])
+    with monkeypatch.context() as m:
+        m.setattr(CommitLog, "finish", lambda self, part: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            process_pending(log, walk, f, r)
+    assert log.watermark() == (0, None) and pending_of(log).count() == 0
+    process_pending(log, walk, f, r)
+    assert [x.entry_id for x in pending_of(log).collect()] == [1]
+
+
+def test_of_two_runs_at_once_one_wins(spark, tmp_path):
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    rows = spark.createDataFrame([(k,) for k in range(5)], "seq long")
+    part, other = log.slice(rows, "seq"), log.slice(rows, "seq")
+    for x in (part, other):
+        x.rows.write.parquet(x.out)
+    assert log.finish(part) and log.finish(other) is None
+    assert sorted(r.seq for r in log.read().collect()) == list(range(5))
+
+
+def test_only_what_is_above_the_watermark_is_scanned(spark, tmp_path):
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    spark.range(100).withColumnRenamed("id", "seq").write.parquet(f"{tmp_path}/t")
+    log.run(spark.read.parquet(f"{tmp_path}/t").filter("seq < 60"), "seq", lambda d: d)
+    rows = log.slice(spark.read.parquet(f"{tmp_path}/t"), "seq").rows
+    assert "GreaterThan(seq,59)" in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 40
