@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 #: Longer values are counted under their SHA-256, so a summary has a size bound: counters x (LONG + 1) bytes.
 LONG = 256
-GROUPS = 32
+#: Summaries merged at once, and levels of the tree: enough for FAN_IN ** LEVELS (16 million) partitions.
+FAN_IN, LEVELS = 256, 3
 _SCHEMA = "part int, key string, est long, n_rows long"
 
 
@@ -74,15 +75,16 @@ def summaries(df: DataFrame, column: str, counters: int) -> DataFrame:
 
 
 def merged(parts: DataFrame, counters: int) -> DataFrame:
-    """One summary of all: groups of partitions first, then the groups, so that no task gets more than its share."""
+    """One summary of all. No task gets more than FAN_IN summaries, however many partitions there are."""
 
     def merge(table: pa.Table) -> pa.Table:
         keyed = table.filter(pc.is_valid(table["key"])).select(["key", "est"])
         n = pc.sum(table["n_rows"]).as_py() or 0
         return _emit(table["part"][0].as_py(), shrink(keyed, counters), n)
 
-    grouped = parts.withColumn("part", F.col("part") % GROUPS).groupBy("part").applyInArrow(merge, _SCHEMA)
-    return grouped.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(merge, _SCHEMA)
+    for _ in range(LEVELS):
+        parts = parts.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("part").applyInArrow(merge, _SCHEMA)
+    return parts
 
 
 def frequent_values(df: DataFrame, column: str, share: float = 0.004, counters: int = 2000) -> DataFrame:
