@@ -24,6 +24,11 @@ def per_value(df: DataFrame, key: str, member: str) -> DataFrame:
     return pairs.groupBy("val").agg(F.sum("_n").alias("n_rows"), F.count("_member").alias("n_members"))
 
 
+def rows_per_value(df: DataFrame, key: str) -> DataFrame:
+    """The rows of each value of `key`: val, n_rows; a count combined on the map side, so no task holds a whole key."""
+    return df.groupBy(F.col(key).alias("val")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def table_rows(df: DataFrame) -> Column:
     """The number of all rows, as a scalar subquery (no collect, no join)."""
     return df.select(F.count(F.lit(1))).scalar()
@@ -35,7 +40,14 @@ def imbalance(df: DataFrame, key: str, member: str, share: float = 0.02) -> Data
     Null and empty values get their rows but are never named as hot, as they are no values.
     """
     part = F.col("n_rows") / table_rows(df)
-    return per_value(df, key, member).select(
-        "val", "n_rows", "n_members", part.alias("part"),
-        (F.coalesce(F.col("val") != "", F.lit(False)) & (part >= share)).alias("hot"),
-    )
+    return per_value(df, key, member).select("val", "n_rows", "n_members", part.alias("part"), _hot(part, share).alias("hot"))
+
+
+def heavy_values(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
+    """The values that cause the imbalance, with their rows: val, n_rows. Members aren't counted, so only values shuffle."""
+    part = F.col("n_rows") / table_rows(df)
+    return rows_per_value(df, key).filter(_hot(part, share))
+
+
+def _hot(part: Column, share: float) -> Column:
+    return F.coalesce(F.col("val") != "", F.lit(False)) & (part >= share)

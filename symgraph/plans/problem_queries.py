@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.operators.incremental import CommitLog, pending_of, process_pending
-from symgraph.operators.skew import imbalance
+from symgraph.operators.skew import heavy_values, imbalance
 from symgraph.session import load, shared_dir
 
 FIELDS = (("refs.name", "refs", "name"), ("imports.raw_path", "imports", "raw_path"))
@@ -20,7 +20,8 @@ def _values(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    return _values(spark, base).filter("hot").select("field", "val")
+    parts = [heavy_values(load(spark, base, t), c).select(F.lit(f).alias("field"), "val") for f, t, c in FIELDS]
+    return parts[0].unionByName(parts[1])
 
 
 def p2_values(spark: SparkSession, base: str) -> DataFrame:
