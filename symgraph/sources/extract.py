@@ -10,10 +10,11 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,13 +205,11 @@ def extract(text: str, lang: str) -> Iterator[Row]:
 def _scanned(text: str, lang: str, rules: Rules) -> Iterator[Row]:
     clean = blanked(text, lang)
     starts = [0] + [m.end() for m in re.finditer("\n", text)]
+    last = len(clean.rstrip()) - 1
+    partner = _partners(clean) if rules.closed_by != "end" else {}
 
     def line(at: int) -> int:
-        lo, hi = 0, len(starts)
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if starts[mid] <= at else (lo, mid)
-        return lo + 1
+        return bisect_right(starts, at)
 
     found: list[tuple[int, int, str, str]] = []
     taken: set[int] = set()
@@ -223,7 +222,7 @@ def _scanned(text: str, lang: str, rules: Rules) -> Iterator[Row]:
             taken.add(at)
             name = re.sub(r'"\s+"', ".", m.group("n"))
             begin = m.start() + len(m.group()) - len(m.group().lstrip())
-            found.append((begin, _closing(clean, m.end("n"), rules.closed_by, lang), name, kind))
+            found.append((begin, _closing(clean, m.end("n"), rules.closed_by, lang, partner, last), name, kind))
     found.sort()
     rows: list[tuple[int, Row]] = []
     open_: list[tuple[int, str]] = []
@@ -231,13 +230,14 @@ def _scanned(text: str, lang: str, rules: Rules) -> Iterator[Row]:
         while open_ and open_[-1][0] < begin:
             open_.pop()
         a, z = line(begin), line(end)
-        head = re.split(r"[\n{]", text[begin : end + 1], maxsplit=1)[0].strip()
+        stop = _HEAD_END.search(text, begin, end + 1)
+        head = text[begin : stop.start() if stop else end + 1].strip()
         signature = head[:120] if kind in ("struct", "class", "interface", "trait", "object", "enum", "mixin", "extension") else _parameters(text, clean, begin, end) if kind in _WITH_PARAMETERS else ""
         rows.append((begin, Row("symbol", name, kind, a, z, begin - starts[a - 1], end - starts[z - 1] + 1, open_[-1][1] if open_ else "", len(open_), signature)))
         open_.append((end, name))
     if rules.imports:
         for m in re.finditer(rules.imports, text, re.M):
-            if lang != "go" or re.search(r"import\s*\($|import\s*$", clean[: m.start() + 1].rsplit(")", 1)[-1].rstrip(), re.M) or "import" in m.group() or _in_imports(clean, m.start()):
+            if lang != "go" or "import" in m.group() or _in_imports(clean, m.start()):
                 rows.append((m.start(), Row("import", m.group(1).strip(), start_line=line(m.start(1)))))
     if rules.conforms:
         for m in re.finditer(rules.conforms, clean, re.M):
@@ -245,15 +245,16 @@ def _scanned(text: str, lang: str, rules: Rules) -> Iterator[Row]:
                 for base in re.split(r",(?![^<]*>)|\bwith\b", part):
                     if name := type_name(base):
                         rows.append((m.start(), Row("ref", name, "implements", line(m.start()))))
+    interfaces = [(b, e) for b, e, _, k in found if k == "interface"]
     if lang not in _DOTTED:
         joiner = r"(?:::|\.)" if lang != "rust" else r"(?:\.|::)"
         for m in re.finditer(rf"(?<![\w$])({_WORD}(?:\s*(?:{joiner}|->|:)\s*{_WORD})*)\s*(?:::<[^>()]*>|<[\w, ]+>)?\(", clean):
             word = m.group(1)
             at = m.start(1) + len(word) - len(re.split(r"[.:>]", word)[-1].lstrip())
             name = call_name(re.sub(r"\s+", "", word), lang)
-            if not name or name in keywords or name in rules.skip or at in taken or (lang == "java" and clean[: m.start()].rstrip().endswith("new")):
+            if not name or name in keywords or name in rules.skip or at in taken or (lang == "java" and _after_new(clean, m.start())):
                 continue
-            if lang == "go" and not clean[starts[line(m.start()) - 1] : m.start()].strip() and any(k == "interface" and b < m.start() < e for b, e, _, k in found):
+            if lang == "go" and not clean[starts[line(m.start()) - 1] : m.start()].strip() and any(b < m.start() < e for b, e in interfaces):
                 continue  # a method that an interface asks for
             rows.append((m.start(), Row("ref", name, "call", line(m.start()))))
     if lang == "go":
@@ -265,49 +266,70 @@ def _scanned(text: str, lang: str, rules: Rules) -> Iterator[Row]:
 
 def _in_imports(clean: str, at: int) -> bool:
     start = clean.rfind("import", 0, at)
-    between = clean[start:at]
-    return start >= 0 and "(" in between and ")" not in between
+    return start >= 0 and clean.find(")", start, at) < 0 and clean.find("(", start, at) >= 0
 
 
-def _closing(clean: str, at: int, way: str, lang: str) -> int:
-    """Where the declaration that goes on at `at` ends."""
+def _after_new(clean: str, at: int) -> bool:
+    while at and clean[at - 1].isspace():
+        at -= 1
+    return clean.endswith("new", 0, at)
+
+
+_HEAD_END = re.compile(r"[\n{]")
+_BRACE = re.compile(r"[{}]")
+_ENDS = re.compile(r"\b(end|do|def|class|module|if|unless|case|begin|while|until|for|function|repeat|fn|defmodule|defp|defmacro|defprotocol)\b|\n")
+_MARKS = re.compile(r"[(){}\[\];\n]")
+_GOES_ON = re.compile(r"\s*(\{|extends|implements|where|:|=>|throws)")
+_PARAMETERS_END = re.compile(r"[{;]|=>|\)[ \t]*\n")
+
+
+def _partners(clean: str) -> dict[int, int]:
+    """Where each brace closes, found in one pass."""
+    out, open_ = {}, []
+    for m in _BRACE.finditer(clean):
+        if m.group() == "{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out
+
+
+def _closing(clean: str, at: int, way: str, lang: str, partner: dict[int, int], last: int) -> int:
+    """Where the declaration that goes on at `at` ends; `last` is where the text does."""
+    depth = 0
     if way == "end":
-        depth = 0
-        for m in re.finditer(r"\b(end|do|def|class|module|if|unless|case|begin|while|until|for|function|repeat|fn|defmodule|defp|defmacro|defprotocol)\b|\n", clean[at:]):
+        for m in _ENDS.finditer(clean, at):
             w = m.group()
             if w == "end":
                 if depth == 0:
-                    return at + m.end() - 1
+                    return m.end() - 1
                 depth -= 1
-            elif w in ("do", "function", "case", "begin", "def", "class", "module", "fn") or (w in ("if", "unless") and clean[: at + m.start()].rsplit("\n", 1)[-1].strip() == ""):
-                if not (w == "do" and lang in ("lua", "elixir") and depth == 0 and lang == "elixir"):
-                    depth += 1
-        return len(clean.rstrip()) - 1
-    depth = 0
-    for m in re.finditer(r"[(){}\[\];\n]", clean[at:]):
+            elif w in ("if", "unless"):
+                depth += not clean[clean.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
+            elif w in ("do", "function", "case", "begin", "def", "class", "module", "fn") and not (w == "do" and lang == "elixir" and depth == 0):
+                depth += 1
+        return last
+    for m in _MARKS.finditer(clean, at):
         c = m.group()
         if c in "([":
             depth += 1
         elif c in ")]":
             depth -= 1
         elif c == "{" and depth <= 0:
-            level = 0
-            for b in re.finditer(r"[{}]", clean[at + m.start() :]):
-                level += 1 if b.group() == "{" else -1
-                if level == 0:
-                    return at + m.start() + b.start()
-            return len(clean.rstrip()) - 1
-        elif c == ";" and depth <= 0 or (c == "\n" and depth <= 0 and not re.match(r"\s*(\{|extends|implements|where|:|=>|throws)", clean[at + m.end() :])):
-            return at + max(0, m.start() - (c == "\n"))
+            return partner.get(m.start(), last)
+        elif c == ";" and depth <= 0 or (c == "\n" and depth <= 0 and not _GOES_ON.match(clean, m.end())):
+            return max(at, m.start() - (c == "\n"))
         elif c == "}":
-            return at + max(0, m.start() - 1)
-    return len(clean.rstrip()) - 1
+            return max(at, m.start() - 1)
+    return last
 
 
 def _parameters(text: str, clean: str, begin: int, end: int) -> str:
     a = clean.find("(", begin, end + 1)
-    stop = re.search(r"[{;]|=>|\)[ \t]*\n", clean[a : end + 1]) if a >= 0 else None
-    return " ".join(text[a : a + stop.start() + (stop.group()[0] == ")") if stop else end + 1].split())[:120] if a >= 0 else ""
+    if a < 0:
+        return ""
+    stop = _PARAMETERS_END.search(clean, a, end + 1)
+    return " ".join(text[a : stop.start() + (stop.group()[0] == ")") if stop else end + 1].split())[:120]
 
 
 def _python(text: str) -> Iterator[Row]:
@@ -316,14 +338,26 @@ def _python(text: str) -> Iterator[Row]:
     except (SyntaxError, ValueError, RecursionError) as e:
         yield Row("error", str(e))
         return
-    yield from _python_nodes(tree, text, [])
+    yield from _python_nodes(tree, _LINE.findall(text), [])
+
+
+#: Lines as the parser counts them.
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+$")
+
 
+def _segment(lines: list[str], node: ast.AST) -> str:
+    """The source of a node; columns count bytes."""
+    cut = [x.encode() for x in lines[node.lineno - 1 : node.end_lineno]]
+    cut[-1] = cut[-1][: node.end_col_offset]
+    cut[0] = cut[0][node.col_offset :]
+    return b"".join(cut).decode()
 
-def _python_nodes(node: ast.AST, text: str, holders: list[str]) -> Iterator[Row]:
+
+def _python_nodes(node: ast.AST, lines: list[str], holders: list[str]) -> Iterator[Row]:
     for child in ast.iter_child_nodes(node):
         inner = holders
         if isinstance(child, ast.Import | ast.ImportFrom):
-            yield Row("import", ast.get_source_segment(text, child) or "", start_line=child.lineno)
+            yield Row("import", _segment(lines, child), start_line=child.lineno)
         if isinstance(child, ast.Call):
             f = child.func
             name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else ""
@@ -338,12 +372,12 @@ def _python_nodes(node: ast.AST, text: str, holders: list[str]) -> Iterator[Row]
         if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
             first = min([child.lineno, *(d.lineno for d in child.decorator_list)])
             if isinstance(child, ast.ClassDef):
-                kind, signature = "class", (text.splitlines()[child.lineno - 1].strip().rstrip(":"))[:120]
+                kind, signature = "class", (lines[child.lineno - 1].strip().rstrip(":"))[:120]
             else:
                 kind, signature = "function", f"({ast.unparse(child.args)})" + (f" -> {ast.unparse(child.returns)}" if child.returns else "")
             yield Row("symbol", child.name, kind, first, child.end_lineno or first, child.col_offset, child.end_col_offset or 0, holders[-1] if holders else "", len(holders), signature)
             inner = [*holders, child.name]
-        yield from _python_nodes(child, text, inner)
+        yield from _python_nodes(child, lines, inner)
 
 
 _SCHEMA = (
@@ -352,27 +386,33 @@ _SCHEMA = (
 )
 
 
+_KINDS = {c.split()[0]: {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in _SCHEMA.split(", ")}
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """The tagged rows of files (file_id, language, content), with the order in the file (seq) and the SHA-256 of the text.
 
     One pass reads, parses and hashes. A file that fails gives an `error` row, one without rows a `file` row. Files of
-    null content or of a language without rules are left out.
+    null content or of a language without rules are left out. Parsing takes far longer than the texts' size tells, so
+    they are spread over spark.sql.shuffle.partitions tasks, which are not joined again.
     """
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = files.select("file_id", "language", "content").filter(F.col("content").isNotNull() & F.col("language").isin(*sorted(SUPPORTED)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for file_id, lang, text in batch.itertuples(index=False):
+            for file_id, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
                 try:
                     got = [Row("file", ""), *extract(text, lang)]
                 except Exception as e:  # noqa: BLE001 - one file must not end the job
                     got = [Row("error", f"{type(e).__name__}: {e}")]
                 rows += [(file_id, seq, *row, lang, digest) for seq, row in enumerate(got)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+            columns = list(zip(*rows, strict=True)) or [[]] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _KINDS.values(), strict=True)], list(_KINDS))
 
-    return wanted.mapInPandas(run, _SCHEMA)
+    return wanted.repartition(tasks, "file_id").mapInArrow(run, _SCHEMA)
 
 
 def tables(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
