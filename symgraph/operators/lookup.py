@@ -22,7 +22,7 @@ def outline(idx: Index, rel_path: str, repo_id: str = "") -> DataFrame:
 
 def children(idx: Index, parent: str, limit: int | None = 50, rel_path: str = "") -> DataFrame:
     """Members by the name of their parent; `rel_path` keeps namesakes apart."""
-    found = idx.symbols.filter(F.col("parent") == parent)
+    found = idx.pick("symbols", "parent", [parent])
     if rel_path:
         found = found.filter(F.col("rel_path") == rel_path)
     found = found.select("id", *_RESULT).orderBy("repo_id", "rel_path", "start_line", "id")
@@ -30,7 +30,7 @@ def children(idx: Index, parent: str, limit: int | None = 50, rel_path: str = ""
 
 
 def references(idx: Index, names: list[str], kinds: list[str] = (), limit: int | None = None) -> DataFrame:
-    found = idx.refs.filter(F.col("name").isin(*names))
+    found = idx.pick("refs", "name", names)
     if kinds:
         found = found.filter(F.col("kind").isin(*kinds))
     found = found.select("id", "name", "kind", "repo_id", "rel_path", "line").orderBy("repo_id", "rel_path", "line", "id")
@@ -71,14 +71,14 @@ def enclosing(idx: Index, kinds: tuple[str, ...] = (), refs: DataFrame | None =
     return within(symbols, idx.refs if refs is None else refs).groupBy("r_id").agg(best).select("r_id", F.col("_b.s_name").alias("encloser"))
 
 
-def _targets(idx: Index) -> DataFrame:
-    return idx.symbols.filter(F.col("kind").isin(*TYPE_TARGETS)).select("repo_id", "name").distinct().withColumn("resolved", F.lit(True))
+def _targets(symbols: DataFrame) -> DataFrame:
+    return symbols.filter(F.col("kind").isin(*TYPE_TARGETS)).select("repo_id", "name").distinct().withColumn("resolved", F.lit(True))
 
 
 def implementors(idx: Index, names: list[str], limit: int | None = None) -> DataFrame:
     """Who implements the names: one row for each implements-ref, with the narrowest type around it, if any."""
-    refs = idx.refs.filter(F.col("name").isin(*names) & (F.col("kind") == "implements"))
-    known = _targets(idx).filter(F.col("name").isin(*names))
+    refs = idx.pick("refs", "name", names).filter(F.col("kind") == "implements")
+    known = _targets(idx.pick("symbols", "name", names))
     around = enclosing(idx, TYPE_ENCLOSERS, refs)
     found = refs.join(around, refs["id"] == around["r_id"], "left").join(known, ["repo_id", "name"], "left")
     found = found.select(
@@ -90,14 +90,14 @@ def implementors(idx: Index, names: list[str], limit: int | None = None) -> Data
 
 def implements(idx: Index, names: list[str], limit: int | None = None) -> DataFrame:
     """What types of the names implement: the implements-refs for which such a type is the narrowest around."""
-    refs = idx.refs.filter(F.col("kind") == "implements")
+    refs = idx.pick("refs", "kind", ["implements"])
     mine = idx.symbols.filter(F.col("kind").isin(*TYPE_ENCLOSERS))
-    files = mine.filter(F.col("name").isin(*names)).select("file_id").distinct()
+    files = idx.pick("symbols", "name", names).filter(F.col("kind").isin(*TYPE_ENCLOSERS)).select("file_id").distinct()
     pairs = within(mine.join(files, "file_id", "left_semi"), refs.join(files, "file_id", "left_semi"))
     narrow = pairs.groupBy("r_id").agg(F.min("s_span").alias("_least"))
     found = pairs.join(narrow, "r_id").filter((F.col("s_span") == F.col("_least")) & F.col("s_name").isin(*names))
     found = found.select("r_id", "s_name", "r_name", "repo_id", "rel_path", "r_line").distinct()
-    found = found.join(_targets(idx).withColumnRenamed("name", "r_name"), ["repo_id", "r_name"], "left")
+    found = found.join(_targets(idx.symbols).withColumnRenamed("name", "r_name"), ["repo_id", "r_name"], "left")
     found = found.select(
         F.col("r_id").alias("id"), F.col("s_name").alias("implementer"), F.col("r_name").alias("target"), "repo_id", "rel_path", F.col("r_line").alias("line"),
         F.coalesce("resolved", F.lit(False)).alias("resolved"),
@@ -108,7 +108,7 @@ def implements(idx: Index, names: list[str], limit: int | None = None) -> DataFr
 def type_refs(idx: Index, rel_path: str, first: int, last: int) -> DataFrame:
     """The types named between two lines of a file, each definition of the repository once."""
     names = idx.refs.filter((F.col("rel_path") == rel_path) & F.col("line").between(first, last)).select("repo_id", "name").distinct()
-    found = idx.symbols.filter(F.col("kind").isin(*TYPE_REFS)).join(F.broadcast(names), ["repo_id", "name"])
+    found = idx.symbols.filter(F.col("kind").isin(*TYPE_REFS)).join(names, ["repo_id", "name"])
     return found.withColumn("symbol_id", symbol_id()).groupBy("repo_id", "symbol_id").agg(F.min("id").alias("id"))
 
 

@@ -22,10 +22,12 @@ def exact_search(
     idx: Index, names: list[str], kind: str = "", language: str = "", ignore_case: bool = False, limit: int | None = 20,
     include: list[str] = (), exclude: list[str] = (),
 ) -> DataFrame:
-    """Definitions of the names, the likeliest first. The filters reach the scan; ties are broken by place and id."""
-    column = ascii_lower(F.col("name")) if ignore_case else F.col("name")
-    wanted = [n.translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})) for n in names] if ignore_case else names
-    found = idx.symbols.filter(column.isin(*wanted))
+    """Definitions of the names, the likeliest first. Names reach the stored table; ties are broken by place and id."""
+    if ignore_case:
+        wanted = [n.translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})) for n in names]
+        found = idx.symbols.filter(ascii_lower(F.col("name")).isin(*wanted))
+    else:
+        found = idx.pick("symbols", "name", names)
     if kind:
         found = found.filter(F.col("kind") == kind)
     if language:
@@ -90,7 +92,7 @@ def multi_search(idx: Index, queries: list[str], limit: int = 20, include: list[
     """The hits of several queries, `limit` each, every symbol once under the first query that finds it."""
     first_place = {q: queries.index(q) for q in queries}
     order = F.create_map(*[F.lit(x) for pair in first_place.items() for x in pair])
-    found = scored(idx.symbols.filter(F.col("name").isin(*queries)).filter(path_allowed(F.col("rel_path"), include, exclude)))
+    found = scored(idx.pick("symbols", "name", queries).filter(path_allowed(F.col("rel_path"), include, exclude)))
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), *ORDER))
     kept = found.withColumns({"query_no": order[F.col("name")], "rank": rank, "symbol_id": symbol_id()}).filter(F.col("rank") <= limit)
     first = F.row_number().over(Window.partitionBy("repo_id", "symbol_id").orderBy("query_no", "rank"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,30 +14,46 @@ from symgraph.session import cut
 from symgraph.sources.index import Index
 
 
-def edges_down(idx: Index, kinds: tuple[str, ...] = ("call",)) -> DataFrame:
-    """caller -> callee within a repository: any symbol around a call is its caller. The place is that of the first (symbol, ref)."""
-    refs = idx.refs.filter(F.col("kind").isin(*kinds) & is_project_name(F.col("name")))
+def edges_down(idx: Index, kinds: tuple[str, ...] = ("call",), callers: DataFrame | None = None) -> DataFrame:
+    """caller -> callee within a repository: any symbol around a call is its caller. The place is that of the first (symbol, ref).
+
+    With `callers` (repo_id, at) only their symbols, in the files that hold them, are looked at.
+    """
+    symbols, refs = idx.symbols, idx.refs.filter(F.col("kind").isin(*kinds) & is_project_name(F.col("name")))
+    if callers is not None:
+        symbols = symbols.join(callers.select("repo_id", F.col("at").alias("name")).distinct(), ["repo_id", "name"], "left_semi")
     place = F.min(F.struct("s_id", "r_id", "rel_path", "r_line")).alias("_p")
-    edges = within(idx.symbols, refs).filter("s_name <> r_name").groupBy("repo_id", F.col("s_name").alias("caller"), F.col("r_name").alias("callee")).agg(place)
+    edges = within(symbols, refs).filter("s_name <> r_name").groupBy("repo_id", F.col("s_name").alias("caller"), F.col("r_name").alias("callee")).agg(place)
     return edges.select("repo_id", "caller", "callee", F.col("_p.rel_path").alias("rel_path"), F.col("_p.r_line").alias("line"))
 
 
-def edges_up(idx: Index) -> DataFrame:
-    """callee -> caller: the narrowest symbol around each ref of any kind is its caller; one row a ref."""
+def edges_up(idx: Index, callees: DataFrame | None = None) -> DataFrame:
+    """callee -> caller: the narrowest symbol around each ref of any kind is its caller; one row a ref.
+
+    With `callees` (repo_id, at) only the refs to them are looked at.
+    """
+    refs = idx.refs
+    if callees is not None:
+        refs = refs.join(callees.select("repo_id", F.col("at").alias("name")).distinct(), ["repo_id", "name"], "left_semi")
     best = F.min(F.struct("s_span", "s_id", "s_name")).alias("_b")
-    refs = within(idx.symbols, idx.refs).groupBy("r_id", "repo_id", "rel_path", "file_id", F.col("r_line").alias("line"), F.col("r_name").alias("callee")).agg(best)
-    return refs.withColumn("caller", F.col("_b.s_name")).filter("caller <> callee").drop("_b")
+    met = within(idx.symbols, refs).groupBy("r_id", "repo_id", "rel_path", "file_id", F.col("r_line").alias("line"), F.col("r_name").alias("callee")).agg(best)
+    return met.withColumn("caller", F.col("_b.s_name")).filter("caller <> callee").drop("_b")
+
 
+def _roots(idx: Index, names: list[str], table: str) -> DataFrame:
+    return idx.pick(table, "name", names).select("repo_id", F.col("name").alias("root")).distinct().withColumn("at", F.col("root"))
 
-def _roots(idx: Index, names: list[str], source: DataFrame) -> DataFrame:
-    return source.filter(F.col("name").isin(*names)).select("repo_id", F.col("name").alias("root")).distinct().withColumn("at", F.col("root"))
 
+def _walk(edges: Callable[[DataFrame], DataFrame], roots: DataFrame, here: str, there: str, depth: int) -> list[DataFrame]:
+    """The edges met at each level from the names first reached on the level before.
 
-def _walk(edges: DataFrame, roots: DataFrame, here: str, there: str, depth: int) -> list[DataFrame]:
-    """The edges met at each level from the names first reached on the level before."""
+    `edges` makes the edges out of a frontier, so that each level reads the tables once and keeps what the frontier needs.
+    """
     seen, frontier, out = roots, roots, []
     for level in range(1, depth + 1):
-        met = frontier.join(edges.withColumnRenamed(here, "at"), ["repo_id", "at"]).withColumn("depth", F.lit(level))
+        met = frontier.join(edges(frontier).withColumnRenamed(here, "at"), ["repo_id", "at"]).withColumn("depth", F.lit(level))
+        if level < depth:
+            met = cut(met)
         out.append(met.withColumnRenamed("at", here))
         if level == depth:
             break
@@ -49,14 +66,14 @@ def _walk(edges: DataFrame, roots: DataFrame, here: str, there: str, depth: int)
 def trace(idx: Index, names: list[str], depth: int = 3, kinds: tuple[str, ...] = ("call",)) -> DataFrame:
     """What the names call, down to `depth` (5 at most): all edges out of names nearer than that, each once with its least depth."""
     depth = min(max(depth, 1), 5)
-    levels = _walk(edges_down(idx, kinds), _roots(idx, names, idx.symbols), "caller", "callee", depth)
+    levels = _walk(lambda at: edges_down(idx, kinds, at), _roots(idx, names, "symbols"), "caller", "callee", depth)
     return reduce(DataFrame.unionByName, levels).select("root", "repo_id", "caller", "callee", "rel_path", "line", "depth")
 
 
 def impact(idx: Index, names: list[str], depth: int = 2) -> DataFrame:
     """Who uses the names, up to `depth` (5 at most): every (caller, file) once, with the first callee that reached it."""
     depth = min(max(depth, 1), 5)
-    levels = _walk(edges_up(idx), _roots(idx, names, idx.refs), "callee", "caller", depth)
+    levels = _walk(lambda at: edges_up(idx, at), _roots(idx, names, "refs"), "callee", "caller", depth)
     first = F.min(F.struct("depth", "callee", "line", "r_id")).alias("_f")
     met = reduce(DataFrame.unionByName, levels).groupBy("root", "repo_id", "caller", "rel_path").agg(first)
     return met.select("root", "repo_id", F.col("_f.callee").alias("callee"), "caller", "rel_path", F.col("_f.line").alias("line"), F.col("_f.depth").alias("depth"))
@@ -68,24 +85,39 @@ def attributed(hits: DataFrame) -> DataFrame:
     return hits.groupBy(*key).agg(F.min("depth").alias("depth"), F.sort_array(F.collect_set("root")).alias("hit_symbols"))
 
 
-# Import graph. `raw_path LIKE %x%` is an equi-join on a piece of three characters with the LIKE as residual.
+# Import graph. `raw_path LIKE %x%` is an equi-join on the rarest piece of the pattern with the LIKE as residual.
 def _pieces(text: Column, size: int) -> Column:
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))))
+    """The distinct pieces of `size` characters; none of a text that is shorter."""
+    each = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
 def like_join(texts: DataFrame, text: str, patterns: DataFrame, piece: str) -> DataFrame:
     """Rows of `texts` and `patterns` of one repository where `text` holds `piece` in any ASCII case; `_` stands for any character.
 
-    Patterns without three characters in a row that are free of `_` and `%` are compared with the texts of their
-    repository by a piece of one character.
+    Of each pattern's pieces of three characters the one that the fewest texts of the repository have is the key, so
+    what all paths of a folder have in common never joins; a pattern with a piece that no text has is dropped. Patterns
+    without three characters in a row that are free of `_` and `%` use a piece of one character, and those without even
+    that are compared with every text of their repository, as they match nearly all of them.
     """
     folded = ascii_lower(F.col(piece))
-    solid = F.regexp_extract(folded, r"([^_%]{3})[^_%]*$", 1)
-    short = F.regexp_extract(folded, "([^_%])", 1)
-    p = patterns.filter(F.col(piece) != "").withColumns({"_key": F.when(solid != "", solid).otherwise(short), "_like": F.concat(F.lit("%"), F.replace(folded, F.lit("\\"), F.lit("\\\\")), F.lit("%"))})
+    like = F.concat(F.lit("%"), F.replace(folded, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    p = patterns.filter(F.col(piece) != "").withColumns({"_folded": folded, "_like": like})
+    solid = lambda size: F.filter(_pieces(F.col("_folded"), size), lambda x: ~x.contains("_") & ~x.contains("%"))
+    p = p.withColumns({"_p3": solid(3), "_p1": solid(1)})
     t = texts.withColumn("_low", ascii_lower(F.col(text)))
-    t = t.withColumn("_key", F.explode(F.array_union(F.coalesce(_pieces(F.col("_low"), 3), F.array().cast("array<string>")), F.coalesce(_pieces(F.col("_low"), 1), F.array().cast("array<string>")))))
-    return t.join(p, ["repo_id", "_key"]).filter("_low like _like").drop("_key", "_low", "_like")
+    out = None
+    for size, of in ((3, p.filter(F.size("_p3") > 0)), (1, p.filter((F.size("_p3") == 0) & (F.size("_p1") > 0)))):
+        words = of.select("repo_id", "_folded", F.explode(f"_p{size}").alias("_key")).distinct()
+        cut_up = t.withColumn("_key", F.explode(_pieces(F.col("_low"), size)))
+        counts = cut_up.groupBy("repo_id", "_key").agg(F.count(F.lit(1)).alias("_n"))
+        rarest = words.join(counts, ["repo_id", "_key"], "left").groupBy("repo_id", "_folded")
+        rarest = rarest.agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_key")).alias("_r")).filter("_r.n > 0").select("repo_id", "_folded", F.col("_r._key").alias("_key"))
+        keyed = of.join(rarest, ["repo_id", "_folded"])
+        found = cut_up.join(keyed, ["repo_id", "_key"]).filter("_low like _like").drop("_key")
+        out = found if out is None else out.unionByName(found)
+    every = t.join(p.filter(F.size("_p1") == 0), "repo_id").filter("_low like _like")
+    return out.unionByName(every).drop("_low", "_like", "_folded", "_p1", "_p3")
 
 
 def importers(idx: Index, names: list[str] = (), paths: list[str] = (), depth: int = 1) -> DataFrame:
@@ -99,7 +131,7 @@ def importers(idx: Index, names: list[str] = (), paths: list[str] = (), depth: i
     places = idx.files.select("repo_id", "rel_path").distinct()
     starts = []
     if names:
-        starts.append(idx.symbols.filter(F.col("name").isin(*names)).select("repo_id", F.col("rel_path").alias("target")).distinct())
+        starts.append(idx.pick("symbols", "name", names).select("repo_id", F.col("rel_path").alias("target")).distinct())
     if paths:
         listed = F.explode(F.array(*[F.lit(p) for p in paths])).alias("target")
         starts.append(idx.files.select("repo_id").distinct().select("repo_id", listed))

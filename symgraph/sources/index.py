@@ -16,37 +16,49 @@ def latest_files(files: DataFrame) -> DataFrame:
     return files.groupBy("file_id").agg(last).select("file_id", "_last.*")
 
 
+_text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+_PLAIN = {
+    "symbols": lambda: ["id", "file_id", _text("name"), _text("kind"), "language", "start_line", "end_line", "start_col", "end_col", _text("parent"), "depth", _text("signature")],
+    "refs": lambda: ["id", "file_id", "line", _text("name"), "language", F.when(F.coalesce("kind", F.lit("")) == "", "use").otherwise(F.col("kind")).alias("kind")],
+    "imports": lambda: ["id", "file_id", _text("raw_path"), "language"],
+}
+
+
 @dataclass(frozen=True)
 class Index:
     """Rows know their repository and path, as names are resolved within a repository and every result shows the path.
 
     Exact repeats are dropped; null names, parents and signatures are empty; a ref without a kind is a `use`.
+    `stored` has the tables as they are stored, for conditions that should reach them.
     """
 
     files: DataFrame
     symbols: DataFrame
     refs: DataFrame
     imports: DataFrame
+    stored: dict[str, DataFrame] | None = None
 
     @classmethod
     def of(cls, files: DataFrame, symbols: DataFrame, refs: DataFrame, imports: DataFrame) -> Index:
         kept = latest_files(files)
-        place = kept.select("file_id", "repo_id", "rel_path")
-        text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-        kind = F.when(F.coalesce("kind", F.lit("")) == "", "use").otherwise(F.col("kind")).alias("kind")
-        return cls(
-            kept,
-            symbols.select(
-                "id", "file_id", text("name"), text("kind"), "language", "start_line", "end_line", "start_col", "end_col", text("parent"), "depth", text("signature")
-            ).distinct().join(place, "file_id"),
-            refs.select("id", "file_id", "line", text("name"), "language", kind).distinct().join(place, "file_id"),
-            imports.select("id", "file_id", text("raw_path"), "language").distinct().join(place, "file_id"),
-        )
+        raw = {"symbols": symbols, "refs": refs, "imports": imports, "place": kept.select("file_id", "repo_id", "rel_path")}
+        return cls(kept, *(_joined(t, raw[t], raw["place"]) for t in _PLAIN), raw)
 
     @classmethod
     def load(cls, spark: SparkSession, base: str) -> Index:
         return cls.of(*(load(spark, base, t) for t in ("files", "symbols", "refs", "imports")))
 
+    def pick(self, table: str, column: str, values: list[str]) -> DataFrame:
+        """The rows of a table whose column has one of the values. The condition is on the stored column, so that it
+        reaches the files, and few rows are left before repeats are dropped; an empty value means null as well."""
+        values = list(values)
+        if self.stored is None:
+            return getattr(self, table).filter(F.col(column).isin(*values))
+        condition = F.col(column).isin(*values)
+        if "" in values:
+            condition = condition | F.col(column).isNull()
+        return _joined(table, self.stored[table].filter(condition), self.stored["place"])
+
     def save(self, path: str) -> None:
         """Writes the index, clustered by repository and, where names are looked up, by name."""
         for name, order in (("files", ["repo_id", "rel_path"]), ("symbols", ["repo_id", "name"]), ("refs", ["repo_id", "name"]), ("imports", ["repo_id", "raw_path"])):
@@ -57,3 +69,7 @@ class Index:
     def read(cls, spark: SparkSession, path: str) -> Index:
         """An index as `save` wrote it."""
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("files", "symbols", "refs", "imports")))
+
+
+def _joined(table: str, rows: DataFrame, place: DataFrame) -> DataFrame:
+    return rows.select(*_PLAIN[table]()).distinct().join(place, "file_id")
