@@ -178,3 +178,10 @@ def in_scope(path: Column, scope: list[str] = (), exclude: list[str] = ()) -> Co
 
     inside = ~matches(list(exclude)) & (matches(list(scope)) if scope else F.lit(True))
     return path.isNull() | inside
+
+
+def looks_like_code(query: Column) -> Column:
+    """Whether a search text may name code: three characters or more, no `*.` pattern, a letter or underscore, and at
+    most half of it marks of regular expressions. Null is none."""
+    marks = F.length(query) - F.length(F.translate(query, "\\^$.|?*+()[]{}", ""))
+    return F.coalesce((F.length(query) >= 3) & ~query.startswith("*.") & query.rlike(r"[\p{L}_]") & (marks * 2 <= F.length(query)), F.lit(False))

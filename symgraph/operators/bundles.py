@@ -115,6 +115,22 @@ def hunks_in(diff: DataFrame, first: int, last: int) -> DataFrame:
     return heads.join(any_kept, F.lit(True), "left_semi").unionByName(kept).orderBy("pos")
 
 
+def diff_of(idx: Index, diff: DataFrame, name: str) -> DataFrame:
+    """The hunks of a file's diff (pos, text) that meet the definition of a name. The name must be unique."""
+    found = resolve(idx, name)
+    if not found:
+        raise LookupError(f"symbol not found: {name}")
+    if len(found) > 1:
+        raise Ambiguous(name, found)
+    return hunks_in(diff, found[0].start_line, found[0].end_line)
+
+
+def diff_stat(hunks: DataFrame) -> DataFrame:
+    """Added and removed lines of hunks, one row."""
+    body = lambda mark, head: F.count_if(F.col("text").startswith(mark) & ~F.col("text").startswith(head))
+    return hunks.agg(body("+", "+++ ").alias("added"), body("-", "--- ").alias("removed"))
+
+
 def parse_range(text: str) -> tuple[str, int, int] | None:
     """`path:10-20`, `path:10`, `path:L10-L20` as (path, first, last)."""
     m = re.fullmatch(r"(.+):L?(\d+)(?:-L?(\d+))?", text)

@@ -32,10 +32,13 @@ def symbol_places(idx: Index) -> DataFrame:
 
 
 def call_graph(
-    idx: Index, names: list[str], depth: int = 2, direction: str = "down", scope: list[str] = (), exclude: list[str] = (), include_unresolved: bool = False
+    idx: Index, names: list[str], depth: int | None = None, direction: str = "down", scope: list[str] = (), exclude: list[str] = (), include_unresolved: bool = False
 ) -> Graph:
-    """The graph of what the names call (down), who uses them (up), or both, within the scope of paths."""
-    depth = min(max(depth, 1), 5)
+    """The graph of what the names call (down), who uses them (up), or both, within the scope of paths.
+
+    Without a depth, two levels down or one up.
+    """
+    depth = min(max((1 if direction == "up" else 2) if depth is None else depth, 1), 5)
     names = [n for n in names if n.strip()]
     places = symbol_places(idx)
     parts = []
@@ -116,8 +119,20 @@ def conformance_graph(found: DataFrame) -> Graph:
     return Graph(a.unionByName(b).distinct(), edges, unresolved)
 
 
+def form_of(asked: str = "", as_json: bool = False, terminal: bool = False) -> str:
+    """The form of a graph: the one asked for, else JSON where JSON is wanted, else Mermaid on a terminal and JSON in a pipe."""
+    if asked and asked not in ("json", "mermaid", "dot"):
+        raise ValueError(f"no form {asked}")
+    return asked or ("mermaid" if terminal and not as_json else "json")
+
+
 def render(graph: Graph, form: str = "json", limit: int = MERMAID_NODES) -> str:
-    """The graph as JSON, Mermaid or DOT. It is cut to `limit` nodes a repository before it comes to the driver."""
+    """The graph of one repository as JSON, Mermaid or DOT, cut to `limit` nodes before it comes to the driver.
+
+    A graph of several repositories is refused, as its nodes are numbered within each; filter it first.
+    """
+    if len(graph.nodes.select("repo_id").distinct().limit(2).collect()) > 1:
+        raise ValueError("more than one repository")
     shown = truncated(graph, min(limit, MERMAID_NODES) if form == "mermaid" else limit)
     nodes = [r.asDict() for r in shown.nodes.select("id", "label", "kind", "rel_path").distinct().orderBy("id", "label").collect()]
     edges = [r.asDict() for r in shown.edges.select("source", "target", "kind", "resolved").distinct().orderBy("source", "target", F.desc("resolved")).collect()]

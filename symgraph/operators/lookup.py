@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.functions.names import TYPE_ENCLOSERS, TYPE_REFS, TYPE_TARGETS, symbol_id
+from symgraph.functions.names import TYPE_ENCLOSERS, TYPE_REFS, TYPE_TARGETS, path_allowed, symbol_id
 from symgraph.sources.index import Index
 
 #: Lines a bin of the interval join.
@@ -105,6 +105,28 @@ def implements(idx: Index, names: list[str], limit: int | None = None) -> DataFr
     return found.limit(limit) if limit else found
 
 
+def narrowed(
+    found: DataFrame, language: str = "", resolved: bool | None = None, include: list[str] = (), exclude: list[str] = (), limit: int | None = None
+) -> DataFrame:
+    """Rows of `implementors` or `implements` of one language, of targets that are known or not, and of some paths.
+
+    The limit comes last, so filters never leave fewer rows than there are.
+    """
+    if language:
+        found = found.filter(F.col("language") == language)
+    if resolved is not None:
+        found = found.filter(F.col("resolved") == resolved)
+    found = found.filter(path_allowed(F.col("rel_path"), list(include), list(exclude)))
+    order = [c for c in ("repo_id", "rel_path", "line", "id", "implementer") if c in found.columns]
+    return found.orderBy(*order).limit(limit) if limit else found
+
+
+def outline_names(idx: Index, rel_path: str, repo_id: str = "") -> DataFrame:
+    """The names of a file's symbols, each once, in the order of their first line."""
+    rows = outline(idx, rel_path, repo_id).groupBy("repo_id", "name").agg(F.min(F.struct("start_line", "id")).alias("_at"))
+    return rows.orderBy("repo_id", "_at").select("repo_id", "name")
+
+
 def type_refs(idx: Index, rel_path: str, first: int, last: int) -> DataFrame:
     """The types named between two lines of a file, each definition of the repository once."""
     names = idx.refs.filter((F.col("rel_path") == rel_path) & F.col("line").between(first, last)).select("repo_id", "name").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,31 +37,52 @@ def exact_search(
     return (found.limit(limit) if limit else found).select("id", *RESULT, "score")
 
 
-def query_tokens(query: str) -> list[str]:
-    return [t for t in re.split(r"[\W_]+", query.lower()) if t]
+def _unaccented() -> tuple[str, str]:
+    """Latin letters with marks and their plain letters, made by rule."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250))]
+    pairs = [(c, b) for c, b in pairs if b != c and b.isascii()]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+_MARKED, _PLAIN = _unaccented()
+
+
+def query_phrases(query: str) -> list[list[str]]:
+    """The words of a query: parts between spaces are phrases that must all be there, their words stand in a row."""
+    folded = query.lower().translate(str.maketrans(_MARKED, _PLAIN))
+    return [words for part in folded.split() if (words := [t for t in re.split(r"[\W_]+", part) if t])]
 
 
 def prefix_search(idx: Index, query: str, kind: str = "", language: str = "", limit: int | None = 20, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
-    """Symbols in whose name or kind the words of the query stand in a row, the last as a prefix.
+    """Symbols in whose name or kind all phrases of the query stand, the last word of the last one as a prefix.
 
+    `handle request` are two phrases, `handle_request` is one of two words. Case and marks on letters do not matter.
     The order is tier (0 the name itself, 1 a name that begins with the query, 2 the rest), then BM25 within the tier
     beyond the score: tier, score, rank, place. Text that is no word separates words and is never an error.
     """
-    words = query_tokens(query)
-    if not words:
+    phrases = query_phrases(query)
+    if not phrases:
         return scored(idx.symbols.limit(0)).select("id", *RESULT, "score", F.lit(0).alias("tier"), F.lit(0.0).alias("rank"))
-    tokens = F.filter(F.split(F.lower(F.concat_ws(" ", "name", "kind")), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    folded = F.translate(F.lower(F.concat_ws(" ", "name", "kind")), _MARKED, _PLAIN)
+    tokens = F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
     every = idx.symbols.select("id", "file_id", "repo_id", "rel_path", "name", "kind", "language", "start_line", "end_line", "parent", "depth", "signature", tokens.alias("_t"))
-    n = len(words)
-    places = F.sequence(F.lit(1), F.size("_t") - (n - 1))
-    holds = lambda i: _all([F.element_at("_t", i + k) == w for k, w in enumerate(words[:-1])] + [F.element_at("_t", i + (n - 1)).startswith(words[-1])])
-    times = F.when(F.size("_t") >= n, F.size(F.filter(places, holds))).otherwise(0)
-    counted = every.withColumn("_f", times)
-    stats = counted.agg(F.count(F.lit(1)).alias("_rows"), F.avg(F.size("_t")).alias("_mean"), F.count_if(F.col("_f") > 0).alias("_hits"))
+
+    def times(words: list[str], prefix: bool) -> Column:
+        n, last = len(words), words[-1]
+        end = lambda i: F.element_at("_t", i + (n - 1)).startswith(last) if prefix else F.element_at("_t", i + (n - 1)) == last
+        holds = lambda i: _all([F.element_at("_t", i + k) == w for k, w in enumerate(words[:-1])] + [end(i)])
+        return F.when(F.size("_t") >= n, F.size(F.filter(F.sequence(F.lit(1), F.size("_t") - (n - 1)), holds))).otherwise(0)
+
+    some = range(len(phrases))
+    counted = every.withColumns({f"_f{k}": times(words, k == len(phrases) - 1) for k, words in enumerate(phrases)})
+    stats = counted.agg(F.count(F.lit(1)).alias("_rows"), F.avg(F.size("_t")).alias("_mean"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_hits{k}") for k in some])
     # One row of statistics beside the hits.
-    hits = counted.filter(F.col("_f") > 0).join(F.broadcast(stats), F.lit(True))
-    idf = F.greatest(F.log((F.col("_rows") - F.col("_hits") + 0.5) / (F.col("_hits") + 0.5)), F.lit(1e-6))
-    rank = idf * F.col("_f") * 2.2 / (F.col("_f") + 1.2 * (0.25 + 0.75 * F.size("_t") / F.col("_mean")))
+    hits = counted.filter(_all([F.col(f"_f{k}") > 0 for k in some])).join(F.broadcast(stats), F.lit(True))
+    rank = F.lit(0.0)
+    for k in some:
+        n, f = F.col(f"_hits{k}"), F.col(f"_f{k}")
+        idf = F.greatest(F.log((F.col("_rows") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+        rank = rank + idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.size("_t") / F.col("_mean")))
     low, plain = ascii_lower(F.col("name")), query.lower()
     tier = F.when(low == plain, 0).when(low.startswith(plain), 1).otherwise(2)
     found = scored(hits.withColumns({"rank": F.round(rank, 6), "tier": tier}))
@@ -99,6 +121,25 @@ def multi_search(idx: Index, queries: list[str], limit: int = 20, include: list[
     return kept.withColumn("_first", first).filter("_first = 1").select("query_no", "rank", "symbol_id", *RESULT, "score")
 
 
+def listed(args: list[str], text: str = "") -> list[str]:
+    """Names given as arguments and in the lines of a text, each once in the order met; blank lines and `#` lines are skipped."""
+    lines = [x.strip() for x in text.splitlines()]
+    return list(dict.fromkeys([*[a.strip() for a in args if a.strip()], *[x for x in lines if x and not x.startswith("#")]]))
+
+
+def ranking_metrics(ranked: DataFrame, expected: DataFrame) -> DataFrame:
+    """How well a ranking (query, item, rank from 1) puts what is expected (query, item) first: one row.
+
+    n_queries with something expected, mrr (mean reciprocal of the best rank, 0 if none is found), top1 (share of
+    queries whose first item is expected) and the median best rank among the queries that find any.
+    """
+    found = expected.distinct().join(ranked, ["query", "item"], "left").groupBy("query").agg(F.min("rank").alias("_best"))
+    return found.agg(
+        F.count(F.lit(1)).alias("n_queries"), F.avg(F.coalesce(1 / F.col("_best"), F.lit(0.0))).alias("mrr"),
+        F.avg(F.coalesce((F.col("_best") == 1).cast("int"), F.lit(0))).alias("top1"), F.median("_best").alias("median_rank"),
+    )
+
+
 def lines_of(contents: DataFrame) -> DataFrame:
     """Every line of the texts: file_id, line (from 1), content. A carriage return at the end and an empty last piece are dropped."""
     pieces = contents.select("file_id", F.posexplode(F.split("content", "\n")).alias("pos", "content"), F.size(F.split("content", "\n")).alias("_n"))

@@ -24,7 +24,7 @@ def edges_down(idx: Index, kinds: tuple[str, ...] = ("call",), callers: DataFram
         symbols = symbols.join(callers.select("repo_id", F.col("at").alias("name")).distinct(), ["repo_id", "name"], "left_semi")
     place = F.min(F.struct("s_id", "r_id", "rel_path", "r_line")).alias("_p")
     edges = within(symbols, refs).filter("s_name <> r_name").groupBy("repo_id", F.col("s_name").alias("caller"), F.col("r_name").alias("callee")).agg(place)
-    return edges.select("repo_id", "caller", "callee", F.col("_p.rel_path").alias("rel_path"), F.col("_p.r_line").alias("line"))
+    return edges.select("repo_id", "caller", "callee", F.col("_p.rel_path").alias("rel_path"), F.col("_p.r_line").alias("line"), F.col("_p.r_id").alias("r_id"))
 
 
 def edges_up(idx: Index, callees: DataFrame | None = None) -> DataFrame:
@@ -49,34 +49,51 @@ def _walk(edges: Callable[[DataFrame], DataFrame], roots: DataFrame, here: str,
 
     `edges` makes the edges out of a frontier, so that each level reads the tables once and keeps what the frontier needs.
     """
-    seen, frontier, out = roots, roots, []
+    # _ord is the chain of refs by which a name was first met, so rows can be put in the order of discovery.
+    frontier = roots.withColumn("_ord", F.array().cast("array<bigint>"))
+    seen, out = roots, []
     for level in range(1, depth + 1):
-        met = frontier.join(edges(frontier).withColumnRenamed(here, "at"), ["repo_id", "at"]).withColumn("depth", F.lit(level))
+        met = frontier.join(edges(frontier).withColumnRenamed(here, "at"), ["repo_id", "at"])
+        met = met.withColumns({"depth": F.lit(level), "_ord": F.concat("_ord", F.array("r_id"))})
         if level < depth:
             met = cut(met)
         out.append(met.withColumnRenamed("at", here))
         if level == depth:
             break
-        new = met.select("repo_id", "root", F.col(there).alias("at")).distinct()
+        new = met.groupBy("repo_id", "root", F.col(there).alias("at")).agg(F.min("_ord").alias("_ord"))
         frontier = cut(new.join(seen, ["repo_id", "root", "at"], "left_anti"))
-        seen = seen.unionByName(frontier)
+        seen = seen.unionByName(frontier.drop("_ord"))
     return out
 
 
-def trace(idx: Index, names: list[str], depth: int = 3, kinds: tuple[str, ...] = ("call",)) -> DataFrame:
-    """What the names call, down to `depth` (5 at most): all edges out of names nearer than that, each once with its least depth."""
+def _first(found: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows in the order of discovery: by depth, then by the chain of refs that led there."""
+    if limit:
+        found = found.orderBy("depth", "_ord", "repo_id", "root", "caller", "callee").limit(limit)
+    return found.drop("_ord")
+
+
+def trace(idx: Index, names: list[str], depth: int = 3, kinds: tuple[str, ...] = ("call",), limit: int | None = None) -> DataFrame:
+    """What the names call, down to `depth` (5 at most): all edges out of names nearer than that, each once with its least depth.
+
+    With a limit, the first edges in the order of discovery, also within a level.
+    """
     depth = min(max(depth, 1), 5)
     levels = _walk(lambda at: edges_down(idx, kinds, at), _roots(idx, names, "symbols"), "caller", "callee", depth)
-    return reduce(DataFrame.unionByName, levels).select("root", "repo_id", "caller", "callee", "rel_path", "line", "depth")
+    return _first(reduce(DataFrame.unionByName, levels).select("root", "repo_id", "caller", "callee", "rel_path", "line", "depth", "_ord"), limit)
+
 
+def impact(idx: Index, names: list[str], depth: int = 2, limit: int | None = None) -> DataFrame:
+    """Who uses the names, up to `depth` (5 at most): every (caller, file) once, with the first callee that reached it.
 
-def impact(idx: Index, names: list[str], depth: int = 2) -> DataFrame:
-    """Who uses the names, up to `depth` (5 at most): every (caller, file) once, with the first callee that reached it."""
+    With a limit, the first rows in the order of discovery, also within a level.
+    """
     depth = min(max(depth, 1), 5)
     levels = _walk(lambda at: edges_up(idx, at), _roots(idx, names, "refs"), "callee", "caller", depth)
-    first = F.min(F.struct("depth", "callee", "line", "r_id")).alias("_f")
+    first = F.min(F.struct("depth", "callee", "line", "r_id", "_ord")).alias("_f")
     met = reduce(DataFrame.unionByName, levels).groupBy("root", "repo_id", "caller", "rel_path").agg(first)
-    return met.select("root", "repo_id", F.col("_f.callee").alias("callee"), "caller", "rel_path", F.col("_f.line").alias("line"), F.col("_f.depth").alias("depth"))
+    met = met.select("root", "repo_id", F.col("_f.callee").alias("callee"), "caller", "rel_path", F.col("_f.line").alias("line"), F.col("_f.depth").alias("depth"), F.col("_f._ord").alias("_ord"))
+    return _first(met, limit)
 
 
 def attributed(hits: DataFrame) -> DataFrame:

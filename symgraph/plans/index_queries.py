@@ -262,7 +262,7 @@ tr AS (SELECT root, repo_id, caller, callee, p.p AS rel_path, p.l AS line, depth
 
 @query("call_edges", _WITHIN + _DOWN + " SELECT repo_id, caller, callee, p.p AS rel_path, p.l AS line FROM ed")
 def call_edges(spark: SparkSession, base: str) -> DataFrame:
-    return traverse.edges_down(Index.load(spark, base))
+    return traverse.edges_down(Index.load(spark, base)).drop("r_id")
 
 
 @query("trace_d2", _WITHIN + _DOWN + " SELECT * FROM tr")

@@ -11,9 +11,16 @@ _SPECIAL = ("#", "-", "?", ":", "{", "[", "&", "*", "!", "|", ">", "@", "`")
 
 
 def envelope(df: DataFrame, limit: int = 10_000) -> str:
-    """At most `limit` rows as JSON."""
-    rows = [json.loads(r) for r in df.limit(limit).toJSON().collect()]
-    return json.dumps({"version": VERSION, "results": rows}, indent=2, ensure_ascii=False)
+    """The rows as JSON, for what a person or a tool reads. More than `limit` rows say so by `"more": true`; whole
+    tables are written by `write_json`."""
+    rows = [json.loads(r) for r in df.limit(limit + 1).toJSON().collect()]
+    more = {"more": True} if len(rows) > limit else {}
+    return json.dumps({"version": VERSION, "results": rows[:limit], **more}, indent=2, ensure_ascii=False)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """All rows as lines of JSON, written by the executors."""
+    df.write.json(path)
 
 
 def plain_value(value: str) -> str:

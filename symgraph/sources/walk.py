@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import os
+import subprocess
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symgraph.functions.names import LARGE_FILE, is_generated, path_matches
 from symgraph.sources.languages import SKIPPED, language_of
 
+#: Nodes of a tree that the driver draws.
+MOST_NODES = 100_000
 _SCHEMA = "repo_id string, path string, rel_path string, language string, size long, mtime_ns long"
 
 
@@ -51,13 +56,55 @@ def excluded(exclude: list[str] = (), generated: bool = False, large: bool = Fal
     return out if generated else out | is_generated(F.col("rel_path"))
 
 
-def with_content(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """The listed files with their text, read by the executors from a folder that they share."""
-    scheme = root if "://" in root else "file://" + os.path.abspath(root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(scheme)
-    text = F.decode("content", "UTF-8").alias("content")
-    local = F.regexp_replace("path", "^file:/+", "/").alias("path")
-    return files.join(raw.select(local, text), "path")
+def find_root(path: str) -> str | None:
+    """The folder of the repository that holds a path: the nearest one above with `.git`."""
+    at = os.path.abspath(path)
+    while not os.path.exists(os.path.join(at, ".git")):
+        above = os.path.dirname(at)
+        if above == at:
+            return None
+        at = above
+    return at
+
+
+def guarded(root: str, path: str) -> str:
+    """The real place of a path below `root`; PermissionError if it leaves the folder, by links too, or is in `.git`."""
+    top, real = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
+    if os.path.commonpath([top, real]) != top or ".git" in os.path.relpath(real, top).split(os.sep):
+        raise PermissionError(f"{path} is not in the repository")
+    return real
+
+
+def with_content(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The listed files with their text, each read once by the executors from a folder that they share.
+
+    Only listed paths are opened. A file that can't be read has null content.
+    """
+    columns = files.columns
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):  # texts in memory at once
+                part, texts = batch.slice(k, 64), []
+                for path in part.column("path").to_pylist():
+                    try:
+                        with open(path, "rb") as f:
+                            texts.append(f.read().decode("utf-8", "replace"))
+                    except OSError:
+                        texts.append(None)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*columns, "content"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.StringType())])
+    return files.repartition(tasks).mapInArrow(read, schema)
+
+
+def git_diff(spark: SparkSession, root: str, path: str, base: str = "HEAD") -> DataFrame:
+    """The lines of the difference of one file to a commit, as git says it: pos, text. Run by the driver."""
+    guarded(root, path)
+    command = ["git", "-C", root, "diff", "--no-ext-diff", "--no-color", base, "--", path]
+    text = subprocess.run(command, capture_output=True, text=True, check=True, errors="replace").stdout
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "pos int, text string")
 
 
 def tree(files: DataFrame, depth: int = 0) -> DataFrame:
@@ -72,9 +119,12 @@ def tree(files: DataFrame, depth: int = 0) -> DataFrame:
 
 
 def render_tree(rows: DataFrame) -> str:
-    """The tree as text; for what a person can read, so it comes to the driver."""
+    """The tree of one repository as text, for what a person can read; above MOST_NODES nodes ask for less depth."""
     below: dict[str, list] = {}
-    for r in sorted(rows.collect(), key=lambda r: r.name.encode()):
+    found = rows.limit(MOST_NODES + 1).collect()
+    if len(found) > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes")
+    for r in sorted(found, key=lambda r: r.name.encode()):
         below.setdefault(r.parent_path, []).append(r)
 
     def lines(path: str, indent: str) -> Iterator[str]:

@@ -50,7 +50,7 @@ def test_walk_index_refresh(spark, tmp_path):
     assert [r.rel_path for r in files.collect()] == ["Makefile", "a_generated.go", "src/main.go"]
     kept = files.filter(~walk.excluded())
     assert {r.rel_path for r in kept.collect()} == {"Makefile", "src/main.go"}
-    read = walk.with_content(spark, kept, str(tmp_path)).withColumn("file_id", F.xxhash64("rel_path"))
+    read = walk.with_content(spark, kept).withColumn("file_id", F.xxhash64("rel_path"))
     symbols, refs, imports = extract.tables(extract.parsed(read))
     stamped = read.withColumns({"hash": F.lit(""), "indexed_at": F.current_timestamp()})
     idx = Index.of(stamped, symbols, refs, imports)
