@@ -27,10 +27,11 @@ VENDORED_BANNER = (
 )
 #: The head of a file: its first lines, and all lines before the first one of code.
 HEAD_LINES = 12
-MARK = r"(//|#(?![\[!]|\s*(include|define|if|ifdef|ifndef|else|endif|undef|pragma|error)\b)|/\*|\*(?!\w)|--|<!--)"
+MARK = r"(?=[/#*<-])(//|#(?![\[!]|\s*(include|define|if|ifdef|ifndef|else|endif|undef|pragma|error)\b)|/\*|\*(?!\w)|--|<!--)"
 #: Blanks at the start of a line and the mark of a comment.
-COMMENT = r"^[^\S\n]*" + MARK
-LITERAL = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`|\b0[xX][0-9a-fA-F]+\b|\b\d[\d_.]*\b"
+COMMENT = r"^[ \t\f\x0B\r]*+" + MARK
+#: Literals; the look ahead passes over all other places fast.
+LITERAL = r"(?=[\"'`\d])(?:\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`|\b0[xX][0-9a-fA-F]+\b|\b\d[\d_.]*\b)"
 
 #: A line is rare if at most this share of the distinct files has it, or RARE_LINES files.
 RARE_SHARE, RARE_LINES = 0.005, 20
@@ -64,11 +65,11 @@ def text_features(contents: DataFrame) -> DataFrame:
     leading = F.when(before > 0, F.substring(text, F.lit(1), before - 1)).otherwise(text)
     head = F.concat_ws("\n", F.substring_index(text, "\n", HEAD_LINES), leading)
     says = lambda banner: head.rlike("(?imd)" + COMMENT + banner)
-    plain = sub(sub(text, "(?md)" + COMMENT + ".*$"), r"[^\S\n]+|\n(?=\s*(?:\n|\z))")
+    plain = sub(sub(sub(text, "(?md)" + COMMENT + ".*$"), r"[ \t\f\x0B\r]+"), r"\n{2,}", "\n")
     long = F.aggregate(F.split(text, "\n"), F.lit(0), lambda n, x: n + F.when(F.length(x) > 400, F.length(x)).otherwise(0))
     rows = rows.select(
         "file_id", F.length(text).alias("_chars"), says(GENERATED_BANNER).alias("_generated"), says(VENDORED_BANNER).alias("_vendored"),
-        F.trim(plain, F.lit("\n")).alias("_plain"), F.length(sub(text, r"\s+")).alias("_black"), sub(sub(text, LITERAL), r"\s+").alias("_code"),
+        F.trim(plain, F.lit("\n")).alias("_plain"), F.length(sub(text, r"[ \t\n\f\x0B\r]+")).alias("_black"), sub(sub(text, LITERAL), r"[ \t\n\f\x0B\r]+").alias("_code"),
         F.when(text.rlike(r"(?md)^[^\n]{401}"), long).otherwise(0).alias("_long"),
     )
     # The shapes of lines of code: numbers are one zero.
@@ -111,12 +112,16 @@ def described(files: DataFrame, contents: DataFrame) -> DataFrame:
 
 def _signature(lines: Column) -> list[Column]:
     """128 bits, in two numbers: one bit for each line."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    half = lambda x, k: F.when(x.bitwiseAND(F.lit(64)) == k, bit(x)).otherwise(F.lit(0).cast("long"))
-    part = lambda k: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(half(x, k)))
+    part = lambda k: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(_bit(x, k)))
     return [part(0), part(64)]
 
 
+def _bit(line: Column, half: int) -> Column:
+    """The bit of a line in one half of a signature."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), line.bitwiseAND(F.lit(63)).cast("int"))
+    return F.when(line.bitwiseAND(F.lit(64)) == half, bit).otherwise(F.lit(0).cast("long"))
+
+
 def copies(rows: DataFrame) -> DataFrame:
     """Classes of files (of `described`) whose code stands in another repository: class, share.
 
@@ -138,7 +143,8 @@ def copies(rows: DataFrame) -> DataFrame:
     limit = max(RARE_LINES, heads.count() * RARE_SHARE)
     dealt = heads.select("rep", F.explode("hashes").alias("line")).repartition("line")
     often = dealt.groupBy("line").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1")
-    shared = dealt.join(often, "line").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("shared"))
+    bits = [F.bit_or(_bit(F.col("line"), half)).alias(f"_h{k}") for k, half in enumerate((0, 64))]
+    shared = dealt.join(often, "line").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("shared"), *bits)
     home = F.when(F.col("low") == F.col("high"), F.xxhash64("low"))
     own = heads.filter("low is not null").select("rep", "class", home.alias("home"), F.size("hashes").alias("n_lines"))
     held = stored(own.join(shared, "rep"))
@@ -158,8 +164,7 @@ def copies(rows: DataFrame) -> DataFrame:
     wanted = probes.select("rep", "home", "need", F.size("lines").alias("_m"), s0.alias("_s0"), s1.alias("_s1"), F.explode(first).alias("_x"))
     least = F.col("need") - F.col("_m") + F.bit_count("_s0") + F.bit_count("_s1")
     wanted = stored(wanted.select("rep", "home", "_s0", "_s1", least.alias("_least"), "_x.n", "_x.line"))
-    h0, h1 = _signature(F.col("shared.line"))
-    index = held.select(F.col("home").alias("_home"), F.col("rep").alias("hub"), h0.alias("_h0"), h1.alias("_h1"), F.explode("shared.line").alias("line"))
+    index = held.select(F.col("home").alias("_home"), F.col("rep").alias("hub"), "_h0", "_h1", F.explode("shared.line").alias("line"))
     index = stored(index.join(wanted.select("line").distinct(), "line", "left_semi"))
     alike = F.bit_count(F.col("_s0").bitwiseAND(F.col("_h0"))) + F.bit_count(F.col("_s1").bitwiseAND(F.col("_h1"))) >= F.col("_least")
     elsewhere = (F.col("rep") != F.col("hub")) & ~F.col("home").eqNullSafe(F.col("_home"))
