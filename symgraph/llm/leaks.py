@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symgraph.session import stored
+
 #: Words a shingle. Five-word shingles would leave 20 words with two changes as few as six of 16; three leave 12 of 18.
 SHINGLE = 3
 #: Upper sizes of the partitions, in shingles. Longer documents are cut into overlapping domains of the last size.
@@ -25,6 +27,10 @@ SIZES = (16, 28, 40)
 CONTAINMENT, MISS = 0.5, 1e-6
 #: Items a block. An item's part of the index is at most about 100 kB, so a block's index is at most 50 MB.
 BLOCK, ITEM_WORDS = 500, 400
+#: Items under so many words are found by their shingles themselves, as MinHash would need too many functions for them.
+SHORT = 7
+#: Documents looked at together.
+TOGETHER = 1000
 _SCHEMA = "doc_id long, item_id long, words int, errors int"
 
 _MOJIBAKE = re.compile("[ÂÃ][\u0080-¿]")
@@ -34,6 +40,8 @@ _PAGE = re.compile(r"[-–—]\s*\d+\s*[-–—]")
 _GLUE = re.compile(r"(?<=\w)['’ʼ\-­‐](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 _BRACKETS = re.compile(r"\([^()\[\]]*(?:[(\[][^()\[\]]*[)\]][^()\[\]]*)*\)|\[[^()\[\]]*(?:[(\[][^()\[\]]*[)\]][^()\[\]]*)*\]")
+#: Marks on letters, found by rule.
+_COMBINING = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x1E95B)) if unicodedata.combining(c)) + "]+")
 _DASHED = re.compile(r"[–—]\s[^–—\n]{1,120}\s[–—]")
 
 
@@ -46,8 +54,7 @@ def plain(text: str) -> str:
     text = _GLUE.sub("", _PAGE.sub(" ", text))
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text.casefold().replace("œ", "oe").replace("æ", "ae"))
-    return "".join(c for c in text if not unicodedata.combining(c))
+    return _COMBINING.sub("", unicodedata.normalize("NFKD", text.casefold().replace("œ", "oe").replace("æ", "ae")))
 
 
 class Words:
@@ -96,6 +103,13 @@ def minhashes(hashes: np.ndarray, functions: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(31))) & np.uint64(2**64 - 256)) | np.arange(functions, dtype=np.uint64)[:, None]
 
 
+def among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
 class Item(NamedTuple):
     item_id: int
     words: np.ndarray
@@ -137,6 +151,7 @@ class Index:
     def __init__(self, rows: list[tuple[int, str]], least: int):
         self.least, self.items, hashes = least, [], Words()
         found: dict[int, set[int]] = defaultdict(set)
+        exact: dict[int, set[int]] = defaultdict(set)
         most = 0
         for item_id, text in rows:
             parts = read(plain(text))
@@ -148,7 +163,11 @@ class Index:
             self.items.append(Item(item_id, words, np.unique(np.concatenate(sets))))
             for s in sets:
                 width = max(1, min(len(s), least - SHINGLE + 1))
-                b = min(256, max(functions_for(size, width) for size in SIZES))
+                if width < SHORT - SHINGLE + 1:
+                    for value in s.tolist():
+                        exact[value].add(len(self.items) - 1)
+                    continue
+                b = max(functions_for(size, width) for size in SIZES)  # fewer than there are, for SHORT words or more
                 most = max(most, b)
                 runs = np.lib.stride_tricks.sliding_window_view(minhashes(s, b), width, axis=1).min(axis=2)
                 for value in np.unique(runs).tolist():
@@ -158,8 +177,10 @@ class Index:
         self.fewest = min((self.fewest_shared(i) for i in self.items), default=0)
         self.values = np.array(sorted(found), np.uint64)
         self.owners = [sorted(found[v]) for v in sorted(found)]
+        self.exact = np.array(sorted(exact), np.uint64)
+        self.exact_owners = [sorted(exact[v]) for v in sorted(exact)]
         self.functions = {size: min(most, functions_for(size, max(1, least - SHINGLE + 1))) for size in SIZES}
-        short = any(len(i.words) < least for i in self.items)
+        short = any(SHORT <= len(i.words) < least for i in self.items)
         if short:  # short items need all functions in every partition
             self.functions = dict.fromkeys(SIZES, most)
 
@@ -169,11 +190,7 @@ class Index:
 
     def hopeless(self, hashes: np.ndarray) -> bool:
         """Whether a document shares too few shingles with all items together to hold a passage of any. Loses nothing."""
-        if len(hashes) < self.fewest or not len(self.every):
-            return True
-        place = np.searchsorted(self.every, hashes)
-        place[place == len(self.every)] = 0
-        return int((self.every[place] == hashes).sum()) < max(1, self.fewest)
+        return len(hashes) < self.fewest or int(among(hashes, self.every).sum()) < max(1, self.fewest)
 
     def candidates(self, hashes: np.ndarray) -> dict[int, tuple[int, int]]:
         """Items that share a MinHash with a domain of the document: item number to first and last word."""
@@ -181,6 +198,18 @@ class Index:
         n = len(hashes)
         if not n or not self.items:
             return out
+
+        def add(item: int, a: int, z: int) -> None:
+            x, y = out.get(item, (a, z))
+            out[item] = (min(a, x), max(z, y))
+
+        if len(self.exact):
+            place = np.minimum(np.searchsorted(self.exact, hashes), len(self.exact) - 1)
+            for d in np.flatnonzero(self.exact[place] == hashes).tolist():
+                for item in self.exact_owners[place[d]]:
+                    add(item, d, d + 1)
+        if not len(self.values):
+            return out
         size = next((s for s in SIZES if n <= s), SIZES[-1])
         b, half = self.functions[size], SIZES[-1] // 2
         table = minhashes(hashes, b)
@@ -195,8 +224,7 @@ class Index:
         for f, d in np.argwhere(self.values[place] == mins).tolist():
             a, z = starts[d], starts[d] + length
             for item in self.owners[place[f, d]]:
-                x, y = out.get(item, (a, z))
-                out[item] = (min(a, x), max(z, y))
+                add(item, a, z)
         return out
 
 
@@ -240,9 +268,23 @@ def held(item: np.ndarray, text: np.ndarray, skips: list[tuple[int, int]], least
     return None
 
 
+def likely(texts: list[str], known: np.ndarray, fewest: int, words: Words) -> np.ndarray:
+    """Which plain texts share enough shingles with the items to hold a passage of any. Loses nothing.
+
+    Leaving out an interruption makes two new shingles at most, and each begins with a mark that is counted here.
+    """
+    lists = [_WORD.findall(t) for t in texts]
+    ends = np.cumsum([len(x) for x in lists])
+    hits = np.concatenate([[0], np.cumsum(among(shingles(words.of([w for x in lists for w in x])), known))])
+    first = np.minimum(np.concatenate([[0], ends[:-1]]), len(hits) - 1)
+    last = np.clip(ends - SHINGLE + 1, first, len(hits) - 1)
+    marks = np.array([sum(map(t.count, "([–—")) for t in texts])
+    return hits[last] - hits[first] + (SHINGLE - 1) * marks >= max(1, fewest)
+
+
 def passages(index: Index, text: str, words: Words) -> Iterator[tuple[int, int, int]]:
-    """(item_id, words, errors) of the items of which the text holds a passage."""
-    parts = read(plain(text))
+    """(item_id, words, errors) of the items of which the plain text holds a passage."""
+    parts = read(text)
     hashed = words.of(parts.words)
     forms = [np.arange(len(hashed))]
     if parts.brackets:
@@ -275,7 +317,8 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = 20) -> DataFrame:
     The documents are read once and never shuffled: domains of bounded size are cut from each, their MinHashes are
     looked up in the index of all passages of the items, and candidates are verified by exact shingle containment and
     then by aligning words, of which one in ten may be changed, added or left out. The items are the stated query set;
-    they come in blocks of BLOCK, whose index has a size bound.
+    they come in blocks of BLOCK, whose index has a size bound. With more than one block, a first pass keeps the
+    documents that share enough shingles with any item, so the corpus itself is read once, however many items there are.
 
     Items shorter than `least` words must be held whole (in full if under ten words); items under three words and
     documents of null or empty text give no rows. Items above ITEM_WORDS words are cut into overlapping parts, so they
@@ -284,32 +327,51 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = 20) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = iter(items.select("item_id", "text").filter("text is not null and item_id is not null").distinct().toLocalIterator())
+    parts = ((r["item_id"], p) for r in rows for p in _parts(r["text"], least))
+    blocks = []
+    while block := list(islice(parts, BLOCK)):
+        blocks.append(Index(block, least))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null")
+    if len(blocks) > 1:
+        # Only what may hold a passage of any item is looked at again, block by block; 8 bytes for each word of the items.
+        known = spark.sparkContext.broadcast((np.unique(np.concatenate([b.every for b in blocks])), min(b.fewest for b in blocks)))
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = Words()
+            for batch in _pieces(batches):
+                kept = likely([plain(t) for t in batch.column(1).to_pylist()], *known.value, words)
+                yield batch.filter(pa.array(kept))
+
+        texts = stored(texts.mapInArrow(keep, "doc_id long, text string"))
     out = None
-    while block := list(islice(rows, BLOCK)):
-        parts = [(r["item_id"], p) for r in block for p in _parts(r["text"], least)]
-        for k in range(0, len(parts), BLOCK):
-            index = spark.sparkContext.broadcast(Index(parts[k : k + BLOCK], least))
-
-            def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-                words = Words()
-                for batch in batches:
-                    found = [
-                        (doc_id, *hit)
-                        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                        for hit in passages(index.value, text, words)
-                    ]
-                    columns = list(zip(*found, strict=True)) or [[]] * 4
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "words", "errors"])
-
-            hits = docs.select("doc_id", "text").filter("text is not null").mapInArrow(search, _SCHEMA)
-            out = hits if out is None else out.unionByName(hits)
+    for block in blocks:
+        index = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            words = Words()
+            for batch in _pieces(batches):
+                plains = [plain(t) for t in batch.column(1).to_pylist()]
+                kept = np.flatnonzero(likely(plains, index.value.every, index.value.fewest, words)).tolist()
+                ids = batch.column(0).to_pylist() if kept else []
+                found = [(ids[k], *hit) for k in kept for hit in passages(index.value, plains[k], words)]
+                columns = list(zip(*found, strict=True)) or [[]] * 4
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "words", "errors"])
+
+        hits = texts.mapInArrow(search, _SCHEMA)
+        out = hits if out is None else out.unionByName(hits)
     if out is None:
         return spark.createDataFrame([], _SCHEMA)
     top = F.max(F.struct("words", (-F.col("errors")).alias("less"))).alias("_top")
     return out.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", F.col("_top.words").alias("words"), (-F.col("_top.less")).alias("errors"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(k, TOGETHER)
+
+
 def _parts(text: str, least: int) -> Iterator[str]:
     """The text, cut so that no part is above ITEM_WORDS words and every passage of twice `least` words is in one part."""
     words = text.split()

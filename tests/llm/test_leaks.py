@@ -104,3 +104,25 @@ def test_recall_of_candidates_against_all_pairs(spark):
         docs.append((d, text))
     got = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == want
+
+
+def test_items_of_few_words_are_all_found(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choices(words, k=3 + k % 4))) for k in range(120)]
+    docs = [(k, " ".join(rng.choices(words, k=60)) + " " + text + " " + " ".join(rng.choices(words, k=60))) for k, text in items]
+    found = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(k, k) for k, _ in items} <= found
+
+
+def test_many_blocks_equal_one(spark, monkeypatch):
+    from symgraph.llm import leaks as module
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choices(words, k=40))) for k in range(30)]
+    docs = [(k, " ".join(rng.choices(words, k=80)) + " " + " ".join(items[k % 30][1].split()[5:30]) + " (Hear, hear!) end") for k in range(40)] + [(k, " ".join(rng.choices(words, k=90))) for k in range(100, 140)]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(r) for r in leaks(*tables).collect()}
+    monkeypatch.setattr(module, "BLOCK", 7)
+    assert {tuple(r) for r in leaks(*tables).collect()} == whole and {(r[0], r[1]) for r in whole} == {(k, k % 30) for k in range(40)}
