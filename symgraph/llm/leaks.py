@@ -37,7 +37,7 @@ _MOJIBAKE = re.compile("[ÂÃ][\u0080-¿]")
 _LINE_END = re.compile(r"[-­‐](?<=\w[-­‐])\s*\n\s*(?=\w)")
 _FURNITURE = re.compile(r"(?m)^[^\S\n]*\w+[^\S\n]+\d+[^\S\n]+[-–—][^\S\n]+\d+[^\S\n]+[-–—][^\S\n]*\r?$")
 _PAGE = re.compile(r"[-–—]\s*\d+\s*[-–—]")
-_GLUE = re.compile(r"(?<=\w)['’ʼ\-­‐](?=\w)")
+_GLUE = re.compile(r"['’ʼ\-­‐](?<=\w['’ʼ\-­‐])(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 _BRACKETS = re.compile(r"\([^()\[\]]*(?:[(\[][^()\[\]]*[)\]][^()\[\]]*)*\)|\[[^()\[\]]*(?:[(\[][^()\[\]]*[)\]][^()\[\]]*)*\]")
 #: Marks on letters, found by rule.
@@ -188,10 +188,6 @@ class Index:
         """Shingles that a passage of the item keeps: an error takes SHINGLE at most, a word or two go where a bracket opens."""
         return min(len(item.words), self.least) - SHINGLE + 1 - (self.least // 10) * SHINGLE - 2
 
-    def hopeless(self, hashes: np.ndarray) -> bool:
-        """Whether a document shares too few shingles with all items together to hold a passage of any. Loses nothing."""
-        return len(hashes) < self.fewest or int(among(hashes, self.every).sum()) < max(1, self.fewest)
-
     def candidates(self, hashes: np.ndarray) -> dict[int, tuple[int, int]]:
         """Items that share a MinHash with a domain of the document: item number to first and last word."""
         out: dict[int, tuple[int, int]] = {}
@@ -295,13 +291,18 @@ def passages(index: Index, text: str, words: Words) -> Iterator[tuple[int, int,
     best: set[int] = set()
     for at in forms:
         own = shingles(hashed[at])
-        if index.hopeless(own):
+        hits = np.flatnonzero(among(own, index.every))
+        if len(hits) < max(1, index.fewest):
             continue
-        for number, (a, z) in index.candidates(own).items():
+        # A domain that holds a passage holds one of these shingles.
+        begin = max(0, int(hits[0]) - SIZES[-1])
+        for number, (a, z) in index.candidates(own[begin : int(hits[-1]) + 1 + SIZES[-1]]).items():
+            a, z = a + begin, z + begin
             item = index.items[number]
             if item.item_id in best:
                 continue
-            if len(np.intersect1d(own[a:z], item.shingles)) < index.fewest_shared(item):
+            there = among(own[a:z], item.shingles)
+            if there.sum() < index.fewest_shared(item) or len(np.unique(own[a:z][there])) < index.fewest_shared(item):
                 continue
             first = max(0, int(at[a]) - len(item.words))
             last = min(len(hashed), int(at[min(len(at), z + SHINGLE) - 1]) + len(item.words))
