@@ -40,8 +40,8 @@ _PAGE = re.compile(r"[-–—]\s*\d+\s*[-–—]")
 _GLUE = re.compile(r"['’ʼ\-­‐](?<=\w['’ʼ\-­‐])(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 _BRACKETS = re.compile(r"\([^()\[\]]*(?:[(\[][^()\[\]]*[)\]][^()\[\]]*)*\)|\[[^()\[\]]*(?:[(\[][^()\[\]]*[)\]][^()\[\]]*)*\]")
-#: Marks on letters, found by rule.
-_COMBINING = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x1E95B)) if unicodedata.combining(c)) + "]+")
+#: The usual marks on letters.
+_MARKS = re.compile("[\u0300-\u036f]+")
 _DASHED = re.compile(r"[–—]\s[^–—\n]{1,120}\s[–—]")
 
 
@@ -54,7 +54,9 @@ def plain(text: str) -> str:
     text = _GLUE.sub("", _PAGE.sub(" ", text))
     if text.isascii():
         return text.lower()
-    return _COMBINING.sub("", unicodedata.normalize("NFKD", text.casefold().replace("œ", "oe").replace("æ", "ae")))
+    text = _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold().replace("œ", "oe").replace("æ", "ae")))
+    rare = [c for c in set(text) if c > "\u036f" and unicodedata.combining(c)]
+    return text.translate(dict.fromkeys(map(ord, rare))) if rare else text
 
 
 class Words:
