@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Documents a shard. Each shard leaves about one container partly filled, so the loss is one container in a few thousand.
 SHARD = 40_000
-#: Capacities in one run; more are refused.
-MOST_PACKS = 64
+#: Capacities in one run, which are part of the plan; more are refused.
+MOST_PACKS = 10_000
 
 
 class Piece(NamedTuple):
@@ -24,38 +25,48 @@ class Piece(NamedTuple):
 
 
 class OpenBins:
-    """A segment tree over the remaining capacities 0..capacity; a leaf holds the open bins with just that much room."""
+    """A segment tree over the remaining capacities 0..capacity; a leaf holds the open bins with just that much room.
+
+    Only nodes with bins below them exist, so memory goes by the rooms that occur, not by the capacity.
+    """
 
     def __init__(self, capacity: int):
         self.leaves = 1 << capacity.bit_length()
-        self.count = [0] * (2 * self.leaves)
-        self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.count: dict[int, int] = {}
+        self.bins: dict[int, list[int]] = {}
 
     def add(self, room: int, bin_: int) -> None:
-        self.bins[room].append(bin_)
-        k = self.leaves + room
+        self.bins.setdefault(room, []).append(bin_)
+        count, k = self.count, self.leaves + room
         while k:
-            self.count[k] += 1
+            count[k] = count.get(k, 0) + 1
             k >>= 1
 
     def take(self, size: int) -> tuple[int, int] | None:
         """Removes the tightest bin with room for `size`: (room, bin), None if there is none."""
         count, k = self.count, self.leaves + size
-        if not count[k]:
-            while k > 1 and (k & 1 or not count[k + 1]):  # up, until a right sibling has bins
+        if k not in count:
+            while k > 1 and (k & 1 or k + 1 not in count):  # up, until a right sibling has bins
                 k >>= 1
             if k == 1:
                 return None
             k += 1
             while k < self.leaves:
                 k *= 2
-                if not count[k]:
+                if k not in count:
                     k += 1
         room = k - self.leaves
         while k:
-            count[k] -= 1
+            if count[k] == 1:
+                del count[k]
+            else:
+                count[k] -= 1
             k >>= 1
-        return room, self.bins[room].pop()
+        bins = self.bins[room]
+        bin_ = bins.pop()
+        if not bins:
+            del self.bins[room]
+        return room, bin_
 
 
 def best_fit_decreasing(sizes: Iterable[int], capacity: int) -> list[Piece]:
@@ -105,7 +116,7 @@ def pack(docs: DataFrame, packs: DataFrame, shard: int = SHARD) -> DataFrame:
     """
     stored = F.when(F.col("n_tokens") >= 0, F.col("n_tokens").cast("long"))
     items = docs.select(F.col("doc_id").cast("long"), F.coalesce(stored, token_count(F.col("text")), F.lit(0)).alias("tokens"))
-    wanted = packs.filter("pack_name is not null and capacity_tokens > 0").groupBy("pack_name").agg(F.max("capacity_tokens").cast("int").alias("capacity"))
+    wanted = packs.filter("pack_name is not null and capacity_tokens > 0").groupBy("pack_name").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
     # Documents of null id are spread by size; the number of shards comes from a count of the rows.
     n = max(1, -(-docs.count() // shard))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.col("tokens")), F.lit(7)), F.lit(n)).cast("int"))
@@ -131,7 +142,7 @@ def pack(docs: DataFrame, packs: DataFrame, shard: int = SHARD) -> DataFrame:
     asked = wanted.orderBy("pack_name").take(MOST_PACKS + 1)
     if len(asked) > MOST_PACKS:
         raise ValueError(f"more than {MOST_PACKS} capacities")
-    of = "array<struct<pack_name:string,capacity:int>>"
-    listed = F.array(*[F.struct(F.lit(r["pack_name"]).alias("pack_name"), F.lit(r["capacity"]).alias("capacity")) for r in asked]).cast(of)
+    text = json.dumps([{"pack_name": r["pack_name"], "capacity": r["capacity"]} for r in asked])
+    listed = F.from_json(F.lit(text), "array<struct<pack_name:string,capacity:bigint>>")
     each = dealt.select("doc_id", "tokens", "shard", F.explode(listed).alias("p")).select("p.*", "doc_id", "tokens", "shard")
     return each.groupBy("pack_name", "capacity", "shard").applyInPandas(fill, _SCHEMA)

@@ -68,3 +68,10 @@ def test_empty(spark):
     packs = spark.createDataFrame([("a", 4)], "pack_name string, capacity_tokens long")
     assert pack(docs, packs).count() == 0
     assert pack(spark.createDataFrame([(1, "x", 1, 1, 1)], SCHEMA), packs.limit(0)).count() == 0
+
+
+def test_memory_goes_by_rooms_that_occur():
+    sizes = [10**9 - 7, 5, 2, 3 * 10**9, 7]
+    out = best_fit_decreasing(sizes, 10**9)
+    assert sum(p.size for p in out) == sum(sizes) and len({p.container for p in out}) == 5
+    assert next(p.container for p in out if p.item == 4) == next(p.container for p in out if p.item == 0)
