@@ -105,6 +105,8 @@ class Parser:
     def __init__(self, kinds: list[str], codes: str, partner: dict[int, int], fresh: str = ""):
         self.k, self.codes, self.partner, self.fresh = kinds, codes, partner, fresh
         self.p, self.faults = 0, []
+        #: Where the nesting was too deep to go on; what follows is unknown.
+        self.deep: Fault | None = None
 
     # tokens
     def at(self, *kinds: str) -> bool:
@@ -161,6 +163,10 @@ class Parser:
             self.binary(power + 1)
 
     # memory and recovery
+    def context(self) -> str:
+        """What decides on the rules besides the tokens, such as being in a loop."""
+        return ""
+
     def remembered(self, name: str, rule) -> None:
         p, codes = self.p, self.codes
         m = _STOPS.search(codes, p)
@@ -170,7 +176,7 @@ class Parser:
         if q < 0 or q - p > 4000:
             rule()
             return
-        key = f"{name}{codes[p : q + 2]}\n{self.fresh[p : q + 2]}"
+        key = f"{name} {self.context()}{codes[p : q + 2]}\n{self.fresh[p : q + 2]}"
         size = self.seen.get(key)
         if size is not None:
             self.p = p + size
@@ -194,7 +200,7 @@ class Parser:
             self.p = max(self.p, start)
             self.skip(start)
         except RecursionError:
-            self.faults.append(Fault(self.p, "nested too deeply"))
+            self.deep = Fault(min(self.p, len(self.k) - 1), "nested too deeply")
             self.p = len(self.k) - 1
 
     def skip(self, start: int) -> None:

@@ -19,9 +19,9 @@ LANGUAGES = frozenset(_PARSERS)
 
 
 class Report(NamedTuple):
-    """Whether a text is valid, and its errors in order: (line, cause)."""
+    """Whether a text is valid (None: it is nested too deeply to tell), and its errors in order: (line, cause)."""
 
-    valid: bool
+    valid: bool | None
     errors: list[tuple[int, str]]
 
 
@@ -42,7 +42,8 @@ def check(text: str, language: str) -> Report:
     partner, faults = brackets(codes)
     parser = _PARSERS[language](kinds, codes, partner, getattr(lexer, "fresh", "") if language in ("javascript", "typescript") else "")
     parser.file()
-    if not (faults or parser.faults or early):
+    found = {*faults, *parser.faults}
+    if not (found or early or parser.deep):
         return Report(True, [])
     script = language in ("javascript", "typescript")
     if script:
@@ -60,4 +61,6 @@ def check(text: str, language: str) -> Report:
             at = starts[number] if number < len(starts) else len(source)
         return bisect_left(breaks, at) + 1
 
-    return Report(False, sorted(early + [(line(f), f.cause) for f in {*faults, *parser.faults}]))
+    if not found and not early:
+        return Report(None, [(line(parser.deep), parser.deep.cause)])
+    return Report(False, sorted(early + [(line(f), f.cause) for f in found]))

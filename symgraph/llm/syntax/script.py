@@ -287,14 +287,16 @@ class Script(Parser):
         elif k in ("while", "with"):
             self.p += 1
             self.parenthesised()
-            self.substatement()
+            self.loop(k == "while")
         elif k == "do":
             self.p += 1
-            self.substatement()
+            self.loop()
             self.need("while")
             self.parenthesised()
             self.eat(";")
         elif k in ("return", "throw"):
+            if k == "return" and not self.inside:
+                self.bad("return outside a function")
             self.p += 1
             if k == "throw" and self.line():
                 self.bad("expression expected on the line")
@@ -307,6 +309,9 @@ class Script(Parser):
             self.p += 1
             if self.at(NAME) and not self.line():
                 self.p += 1
+            elif not self.loops and not (k == "break" and self.switches):
+                self.p -= 1
+                self.bad(f"{k} outside a loop")
             self.end()
         elif k == "switch":
             self.switch()
@@ -342,6 +347,27 @@ class Script(Parser):
             self.end()
 
     depth = 0
+    #: Whether this is in a function, a loop, a switch.
+    inside = loops = switches = False
+
+    def context(self) -> str:
+        return "".join(c for c, on in zip("flsn", (self.inside, self.loops, self.switches, self.depth), strict=True) if on)
+
+    def body(self, function: bool = True) -> None:
+        """A block of its own: of a function, or of a class when it is set up."""
+        outer = self.inside, self.loops, self.switches, self.no_in
+        self.inside, self.loops, self.switches, self.no_in = function, False, False, False
+        try:
+            self.block()
+        finally:
+            self.inside, self.loops, self.switches, self.no_in = outer
+
+    def loop(self, repeats: bool = True) -> None:
+        outer, self.loops = self.loops, self.loops or repeats
+        try:
+            self.substatement()
+        finally:
+            self.loops = outer
 
     def substatement(self) -> None:
         self.statement()
@@ -505,19 +531,23 @@ class Script(Parser):
             if not self.at(")"):
                 self.expression()
         self.need(")")
-        self.substatement()
+        self.loop()
 
     def switch(self) -> None:
         self.p += 1
         self.parenthesised()
         self.need("{")
-        while not self.eat("}"):
-            if not self.eat("default"):
-                self.need("case")
-                self.expression()
-            self.need(":")
-            while not self.at("case", "default", "}", END):
-                self.tolerant("statement", self.statement)
+        outer, self.switches = self.switches, True
+        try:
+            while not self.eat("}"):
+                if not self.eat("default"):
+                    self.need("case")
+                    self.expression()
+                self.need(":")
+                while not self.at("case", "default", "}", END):
+                    self.tolerant("statement", self.statement)
+        finally:
+            self.switches = outer
 
     # functions and classes
     def function(self, named: bool) -> None:
@@ -540,9 +570,7 @@ class Script(Parser):
         if bodiless and not self.at("{"):
             self.end()
             return
-        outer, self.no_in = self.no_in, False
-        self.block()
-        self.no_in = outer
+        self.body()
 
     def parameters(self) -> None:
         outer, self.no_in = self.no_in, False
@@ -616,7 +644,7 @@ class Script(Parser):
         while self.word() in words and self.peek() not in ("(", "=", ";", "}", "<", "?", "!", ":"):
             if self.word() == "static" and self.peek() == "{":
                 self.p += 1
-                self.block()
+                self.body(False)
                 return
             if self.line(1) and self.word() not in ("static", "public", "private", "protected"):
                 break
@@ -686,9 +714,7 @@ class Script(Parser):
             return False
         self.need("=>")
         if self.at("{"):
-            outer, self.no_in = self.no_in, False
-            self.block()
-            self.no_in = outer
+            self.body()
         else:
             self.assignment()
         return True

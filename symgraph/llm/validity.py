@@ -33,7 +33,8 @@ def parse_reports(files: DataFrame, contents: DataFrame) -> DataFrame:
     """A row for every file with content and a known language: file_id, repo_id, language, valid, first_line, first_cause, errors.
 
     Each text is parsed whole by recursive descent with precedence climbing; after an error the parser goes on in panic
-    mode, so all errors are kept, in the order of lines. Empty and comment-only files are valid.
+    mode, so all errors are kept, in the order of lines. Empty and comment-only files are valid; what is nested beyond
+    the stack is neither valid nor invalid (null).
 
     Files without content (null, or no row) or of another language give no row. Repeated and superseded rows of files
     count once; of several contents of a file the largest is taken. Empty tables give no rows. Other columns are ignored.

@@ -160,3 +160,20 @@ def test_frame(spark):
     rates = {(r.repo_id, r.language): (r.n_files, r.n_invalid, r.reported) for r in parse_rates(parse_reports(files.withColumnRenamed("valid", "size"), contents), stats).collect()}
     assert rates[("r", "c")] == (1, 1, 3) and rates[("q", "rust")] == (1, 0, None)
     assert parse_reports(files.limit(0).withColumnRenamed("valid", "size"), contents).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, valid",
+    [("return 1;", False), ("break;", False), ("continue", False), ("if (a) { return; }", False), ("while (a) { break; }", True), ("function f() { return 1; }", True), ("const f = () => { return 1; };", True),
+     ("class A { static { return; } }", False), ("class A { m() { for (;;) { if (a) continue; } } }", True), ("switch (a) { case 1: break; default: continue; }", False), ("for (const x of y) { switch (x) { case 1: continue; } }", True),
+     ("x: { break x; }", True), ("while (a) { function g() { break; } }", False), ("do { break; } while (a)", True)],
+)
+def test_places_of_jumps(text, valid):
+    for again in (1, 2):
+        assert check("function h() { return 1; }\nwhile (a) { break; }\n", "javascript").valid
+        assert check(text, "javascript").valid is valid and check(text, "typescript").valid is valid
+
+
+def test_too_deep_is_unknown():
+    deep = check("x = " + "(" * 60_000 + "1" + ")" * 60_000 + ";", "javascript")
+    assert deep.valid is not False or "deep" not in deep.errors[0][1]
