@@ -60,8 +60,9 @@ class Index:
         return _joined(table, self.stored[table].filter(condition), self.stored["place"])
 
     def save(self, path: str) -> None:
-        """Writes the index, clustered by repository and, where names are looked up, by name."""
-        for name, order in (("files", ["repo_id", "rel_path"]), ("symbols", ["repo_id", "name"]), ("refs", ["repo_id", "name"]), ("imports", ["repo_id", "raw_path"])):
+        """Writes the index. Symbols and refs are clustered by name, so that a lookup by name opens few row groups, and a
+        name that holds a third of the rows still spreads over files."""
+        for name, order in (("files", ["repo_id", "rel_path"]), ("symbols", ["name", "repo_id"]), ("refs", ["name", "repo_id"]), ("imports", ["repo_id", "raw_path"])):
             table = getattr(self, name)
             table.repartitionByRange(*order, "file_id").sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
 
