@@ -90,6 +90,10 @@ class Store:
         own = before.filter(F.col("repo_id") == home)
         changed = changed_files(listed, own, force).withColumn("file_id", F.xxhash64("repo_id", "rel_path"))
         gone = stale_files(listed, own)
+        n_changed, n_listed, n_gone = changed.count(), listed.count(), gone.count()
+        if entry.get("data") and not n_changed and not n_gone and options == self.options():
+            none = dict.fromkeys(("files_indexed", "files_unsup", "parse_errors", "symbols_found", "stale_removed"), 0)
+            return none | {"files_skipped": n_listed, "files_excluded": left_out["n"], "bytes_excluded": left_out["b"]}
         folder = f"{self.log.path}/data/{number + 1:012d}-{uuid.uuid4().hex}"
         texts = walk.with_content(self.spark, changed)
         extract.parsed(texts).write.parquet(f"{folder}/rows")
@@ -107,10 +111,9 @@ class Store:
             replaced.write.parquet(f"{folder}/{name}")
         failed = rows.filter("tag = 'error'").select("file_id").distinct()
         done = rows.agg(F.count_if(F.col("tag") == "symbol").alias("symbols"), F.count_distinct("file_id").alias("files")).first()
-        n_changed, n_listed = changed.count(), listed.count()
         stats = {
             "files_indexed": done["files"], "files_skipped": n_listed - n_changed, "files_unsup": n_changed - done["files"], "files_excluded": left_out["n"], "bytes_excluded": left_out["b"],
-            "parse_errors": failed.count(), "symbols_found": done["symbols"], "stale_removed": gone.count(),
+            "parse_errors": failed.count(), "symbols_found": done["symbols"], "stale_removed": n_gone,
         }
         meta = entry.get("meta", {})
         meta = meta | {"roots": meta.get("roots", {}) | {home: os.path.abspath(root)}}
