@@ -13,7 +13,8 @@ from symgraph.sources.languages import BY_NAME, EXTENSIONS, language
 from symgraph.sources import extract
 from symgraph.streaming import refresh
 
-SYMBOLS, ROOTS, USED = ["New", "load"], ["New", "Config"], ["loadDocket", "Parcel"]
+SYMBOLS, USED = ["New", "load"], ["loadDocket", "Parcel"]
+ROOTS = ["New", "Config", "ReplayShuttle", "ReplayCargo", "flushSignal", "flushCistern"]
 TARGETS = ["append", "Get"]
 TYPES = ["New", "load", "Config"]
 
@@ -210,20 +211,6 @@ def implements(spark: SparkSession, base: str) -> DataFrame:
     return lookup.implements(Index.load(spark, base), TYPES)
 
 
-_TYPE_REFS = f""",
-b AS (SELECT rel_path FROM r WHERE name IN ('Parcel', 'Ledger', 'Context') GROUP BY rel_path ORDER BY rel_path LIMIT 1),
-m AS (SELECT DISTINCT repo_id, name FROM r WHERE rel_path = (SELECT rel_path FROM b) AND line BETWEEN 1 AND 400)
-SELECT s.repo_id, s.rel_path || ':' || s.language || ':' || s.kind || ':' || s.name || ':' || s.start_line AS symbol_id, min(s.id) AS id
-FROM s JOIN m ON m.repo_id = s.repo_id AND m.name = s.name WHERE s.kind IN ({_quoted(N.TYPE_REFS)}) GROUP BY 1, 2"""
-
-
-@query("type_refs_in_range", _TYPE_REFS)
-def type_refs_in_range(spark: SparkSession, base: str) -> DataFrame:
-    idx = Index.load(spark, base)
-    row = idx.refs.filter(F.col("name").isin("Parcel", "Ledger", "Context")).agg(F.min("rel_path")).first()
-    return lookup.type_refs(idx, row[0] or "", 1, 400)
-
-
 _DEDUPED = _LINES + f""",
 d AS (SELECT DISTINCT repo_id, rel_path, file_id, line FROM r WHERE name IN ({_quoted(USED)}))
 SELECT d.repo_id, d.rel_path, trim(l.content, ' ') AS text, array_to_string(list_sort(list(DISTINCT d.line)), ',') AS lines, count(*) AS n
@@ -338,18 +325,6 @@ def top_by_refs(spark: SparkSession, base: str) -> DataFrame:
     return structure.top_by_refs(Index.load(spark, base))
 
 
-_FAN_IN = """,
-d AS (SELECT repo_id, rel_path, lower(replace(rel_path, '/', '.')) AS a FROM f),
-e AS (SELECT DISTINCT repo_id, rel_path, unnest([a, replace(a, '.go', ''), replace(a, '.py', '')]) AS a FROM d)
-SELECT e.repo_id, e.rel_path, count(DISTINCT i.file_id) AS n_files FROM i JOIN e ON e.repo_id = i.repo_id AND e.a <> '' AND lower(i.raw_path) LIKE '%' || e.a || '%'
-GROUP BY 1, 2 HAVING count(DISTINCT i.file_id) > 1"""
-
-
-@query("import_fan_in", _FAN_IN)
-def import_fan_in(spark: SparkSession, base: str) -> DataFrame:
-    return structure.import_fan_in(Index.load(spark, base))
-
-
 @query("top_packages", f" SELECT repo_id, {_PACKAGE} AS package, count(DISTINCT id) AS n_symbols, count(DISTINCT file_id) AS n_files FROM s GROUP BY 1, 2")
 def top_packages(spark: SparkSession, base: str) -> DataFrame:
     return structure.top_packages(Index.load(spark, base))

@@ -238,8 +238,8 @@ SELECT e.repo_id, e.rel_path, count(DISTINCT j.file_id) AS n_files FROM j JOIN e
 GROUP BY 1, 2 HAVING count(DISTINCT j.file_id) > 1"""
 
 
-@query("import_fan_in_dotted", _DOTTED)
-def import_fan_in_dotted(spark: SparkSession, base: str) -> DataFrame:
+@query("import_fan_in", _DOTTED)
+def import_fan_in(spark: SparkSession, base: str) -> DataFrame:
     """Import fan-in where every file imports the first file of its top folder by its dotted path, as the tables' imports name no files."""
     idx = Index.load(spark, base)
     top = F.substring_index("rel_path", "/", 1).alias("top")
@@ -263,11 +263,11 @@ _BUSIEST = f"""SELECT r.rel_path FROM r JOIN (SELECT DISTINCT repo_id, name FROM
   GROUP BY r.rel_path ORDER BY count(*) DESC, r.rel_path LIMIT 1"""
 
 
-@query("type_refs_in_file", f""",
+@query("type_refs_in_range", f""",
 m AS (SELECT DISTINCT repo_id, name FROM r WHERE rel_path = ({_BUSIEST}) AND line BETWEEN 1 AND 3000)
 SELECT s.repo_id, s.rel_path || ':' || s.language || ':' || s.kind || ':' || s.name || ':' || s.start_line AS symbol_id, min(s.id) AS id
 FROM s JOIN m ON m.repo_id = s.repo_id AND m.name = s.name WHERE s.kind IN ({_quoted(N.TYPE_REFS)}) GROUP BY 1, 2""")
-def type_refs_in_file(spark: SparkSession, base: str) -> DataFrame:
+def type_refs_in_range(spark: SparkSession, base: str) -> DataFrame:
     """The types named in the file that names most of them."""
     idx = Index.load(spark, base)
     types = idx.symbols.filter(F.col("kind").isin(*N.TYPE_REFS)).select("repo_id", "name").distinct()
