@@ -257,6 +257,14 @@ def _scanned(text: str, lang: str, rules: Rules) -> Iterator[Row]:
             if lang == "go" and not clean[starts[line(m.start()) - 1] : m.start()].strip() and any(b < m.start() < e for b, e in interfaces):
                 continue  # a method that an interface asks for
             rows.append((m.start(), Row("ref", name, "call", line(m.start()))))
+    if lang == "kotlin" and not _balanced(clean):
+        known = {(name, kind) for _, _, name, kind in found}
+        told = {(r.name, r.start_line) for _, r in rows if r.kind == "implements"}
+        for at, name, kind, head, bases in _top_types(clean):
+            n, end = line(at), clean.find("\n", at)
+            if (name, kind) not in known:
+                rows.append((at, Row("symbol", name, kind, n, n, at - starts[n - 1], (end if end >= 0 else len(clean)) - starts[n - 1], signature=head)))
+            rows += [(at, Row("ref", b, "implements", n)) for b in bases if (b, n) not in told]
     if lang == "go":
         for m in re.finditer(r"(?:[&=(,:{]|return)\s*(?:\w+\.)?([A-Z]\w*)\{", clean):
             rows.append((m.start(1), Row("ref", m.group(1), "use", line(m.start(1)))))
@@ -264,6 +272,51 @@ def _scanned(text: str, lang: str, rules: Rules) -> Iterator[Row]:
     yield from (r for _, r in rows)
 
 
+#: A type declared on a line of Kotlin, after annotations and modifiers.
+_KOTLIN_TYPE = re.compile(
+    r"[ \t]*(?P<before>(?:@[^\s(]+(?:\([^)]*\))?\s+|(?:public|private|protected|internal|abstract|final|open|sealed|data|value|inline|annotation|enum|fun)\s+)*)"
+    r"(?P<k>interface|object|class)[ \t]+(?P<n>\w+)"
+)
+
+
+def _balanced(clean: str) -> bool:
+    """Whether all brackets of a text close in order; a damaged text mostly has some that don't."""
+    open_, of = [], {")": "(", "]": "[", "}": "{"}
+    for m in re.finditer(r"[()\[\]{}]", clean):
+        c = m.group()
+        if c in "([{":
+            open_.append(c)
+        elif not open_ or open_.pop() != of[c]:
+            return False
+    return not open_
+
+
+def _top_types(clean: str) -> Iterator[tuple[int, str, str, str, list[str]]]:
+    """The types of a damaged Kotlin text that begin on a line outside all braces: place, name, kind, head, supertypes."""
+    depth = at = 0
+    for text in clean.split("\n"):
+        m = _KOTLIN_TYPE.match(text) if depth == 0 else None
+        if m:
+            kind = "enum" if m["k"] == "class" and "enum" in m["before"].split() else m["k"]
+            yield at + len(text) - len(text.lstrip()), m["n"], kind, text.split("{", 1)[0].strip(), _supertypes(text[m.end() :])
+        depth = max(0, depth + text.count("{") - text.count("}"))
+        at += len(text) + 1
+
+
+def _supertypes(rest: str) -> list[str]:
+    """The types after the colon of a declaration; colons and commas within brackets are none of these."""
+    parts, level, begun = [""], 0, False
+    for c in re.split(r"\bwhere\b", rest.split("{", 1)[0])[0]:
+        level += (c in "(<[") - (c in ")>]" and level > 0)
+        if level == 0 and c == ":" and not begun:
+            begun = True
+        elif level == 0 and c == "," and begun:
+            parts.append("")
+        elif begun:
+            parts[-1] += c
+    return [name for p in parts if (name := type_name(re.split(r"\bby\b", p)[0]))]
+
+
 def _in_imports(clean: str, at: int) -> bool:
     start = clean.rfind("import", 0, at)
     return start >= 0 and clean.find(")", start, at) < 0 and clean.find("(", start, at) >= 0

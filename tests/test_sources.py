@@ -94,3 +94,12 @@ def test_render(spark):
     assert render.front_matter([("a", "x: y"), ("b", "plain"), ("c", "")], "body") == '---\na: "x: y"\nb: plain\nc: ""\n---\nbody\n'
     assert json.loads(render.envelope(spark.createDataFrame([(1,)], "x int"))) == {"version": "0.1", "results": [{"x": 1}]}
     assert render.human_size(512) == "512 B" and render.human_size(1536) == "1.5 KB"
+
+
+def test_damaged_kotlin():
+    text = '@Tag("x") class Box<T : Any>(val a: Map<String, Int> = mapOf("k" to 1)) : Base<T>(a), Named where T : X {\n  fun run() { open(\n}\n}\nenum class Way { A }\nsealed interface Far : Near\n'
+    symbols, refs = rows(text, "kotlin", "symbol"), rows(text, "kotlin", "ref")
+    assert {("Box", "class"), ("Way", "enum"), ("Far", "interface")} <= set(symbols)
+    assert {("Base", "implements"), ("Named", "implements"), ("Near", "implements")} <= set(refs)
+    whole = "class A : B(), C {\n  fun f() { g() }\n}\n"
+    assert rows(whole, "kotlin", "symbol") == [("A", "class"), ("f", "function")] and [r for r in rows(whole, "kotlin", "ref") if r[1] == "implements"] == [("B", "implements"), ("C", "implements")]
