@@ -146,6 +146,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=-1, keepdims=True) + 1e-12)
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array and where each begins."""
+    starts = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+    return x[starts], starts
+
+
 def divergences(counts: np.ndarray, groups: np.ndarray, smoothing: float) -> np.ndarray:
     """How much each term tells: the divergence of its subjects from those of its language, less DIVERGENCE."""
     out = np.zeros(len(counts))
@@ -201,7 +207,7 @@ class Part:
         live = np.flatnonzero(np.abs(vectors).sum(1)[self.terms] > 0)
         for k in range(0, len(live), BLOCK):
             at = live[k : k + BLOCK]
-            rows, starts = np.unique(self.row[at], return_index=True)
+            rows, starts = runs(self.row[at])
             out[rows] += np.add.reduceat(vectors[self.terms[at]], starts, axis=0)
         return out
 
@@ -257,7 +263,7 @@ class Part:
         """The sums of the documents' unit vectors by language and class."""
         docs = np.zeros((self.docs, z.shape[1]))
         if self.n:
-            owners, starts = np.unique(self.owner, return_index=True)
+            owners, starts = runs(self.owner)
             docs[owners] = np.add.reduceat(z, starts, axis=0)
         out = np.zeros((GROUPS, shares.shape[1], z.shape[1]))
         for g in range(GROUPS):
@@ -385,11 +391,11 @@ def _stepped(rows: DataFrame, weights: np.ndarray, axes: np.ndarray) -> np.ndarr
             doc, term, value = part.by_doc(weights)
             if not len(doc):
                 continue
-            docs, starts = np.unique(doc, return_index=True)
+            docs, starts = runs(doc)
             y = np.zeros((part.docs, axes.shape[1]), np.float32)
             y[docs] = np.add.reduceat(value[:, None].astype(np.float32) * axes[term], starts, axis=0)
             order = np.argsort(term, kind="stable")
-            terms, starts = np.unique(term[order], return_index=True)
+            terms, starts = runs(term[order])
             total[terms] += np.add.reduceat(value[order, None].astype(np.float32) * y[doc[order]], starts, axis=0)
         yield _emitted(total)
 
